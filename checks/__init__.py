@@ -1 +1,10 @@
 """Check queries for every operator, with the SQL each is compared to."""
+
+from __future__ import annotations
+
+
+def all_checks():
+    """(queries, sql) of every registered check."""
+    from checks import decide, registry, relational, scalar  # noqa: F401 - importing registers
+
+    return dict(registry.QUERIES), dict(registry.SQL)

@@ -35,9 +35,13 @@ def rejection_reasons(submissions: DataFrame) -> DataFrame:
 
 
 def score_distribution(submissions: DataFrame) -> DataFrame:
+    """Rows per score band, ordered by the lowest score in the band."""
+    return banded_scores(submissions).orderBy("lowest").select("grade_range", "cnt")
+
+
+def banded_scores(submissions: DataFrame) -> DataFrame:
     banded = submissions.where("akb_score IS NOT NULL").groupBy(score_band(F.col("akb_score")).alias("grade_range"))
-    counts = banded.agg(F.count("*").alias("cnt"), F.min("akb_score").alias("lowest"))
-    return counts.orderBy("lowest").select("grade_range", "cnt")
+    return banded.agg(F.count("*").alias("cnt"), F.min("akb_score").alias("lowest"))
 
 
 def overall_stats(submissions: DataFrame) -> DataFrame:
