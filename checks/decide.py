@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from checks.parts import PARTS, age_sql, flags_sql, offer_sql, r6, reasons_sql
+from checks.parts import PARTS, age_sql, flags_sql, offer_sql, py_round, r6, reasons_sql
 from checks.registry import check
 from checks.relational import batch_decisions
 from loanloom.fixtures import AS_OF
@@ -84,7 +84,7 @@ def d7_scorecard(t):
     return scored.select("id", "age", "ml_score", "decision", "decision_type")
 
 
-@check(f"""SELECT user_id, {r6('round_even(probability * 100, 1)', 'ml_score')},
+@check(f"""SELECT user_id, {r6(py_round('probability * 100', 1), 'ml_score')},
            CASE WHEN probability >= 0.5 THEN 'APPROVED' ELSE 'REJECTED — High credit risk' END AS decision,
            CASE WHEN prediction = 1 THEN 'APPROVED' ELSE 'REJECTED — High credit risk' END AS class_decision
            FROM predictions""")
@@ -108,8 +108,8 @@ PARTS["existing_checked"] = f"""
         FROM applications a LEFT JOIN birth_dates b ON b.user_id = a.user_id
         LEFT JOIN feat_online f ON f.user_id = a.user_id LEFT JOIN predictions p ON p.user_id = a.user_id
         WHERE a.customer_type = 'existing') x) y"""
-PARTS["existing_decided"] = """
-    SELECT *, CASE WHEN use_model THEN round_even(probability * 100, 1) END AS ml_score,
+PARTS["existing_decided"] = f"""
+    SELECT *, CASE WHEN use_model THEN {py_round('probability * 100', 1)} END AS ml_score,
       CASE WHEN hard_decision <> 'PASSED' THEN hard_decision WHEN use_model AND probability < 0.5
         THEN 'REJECTED — High credit risk' ELSE 'APPROVED' END AS decision,
       CASE WHEN use_model THEN 'XGBoost ML Model' ELSE 'Hard Rules' END AS decision_type
@@ -140,7 +140,7 @@ DECIDED = f"""SELECT user_id, CAST(birth_date AS VARCHAR) AS date_of_birth, age,
     CASE WHEN hard_decision <> 'PASSED' THEN hard_decision WHEN probability < 0.5 THEN 'REJECTED — High credit risk'
       ELSE 'APPROVED' END AS decision,
     CASE WHEN hard_decision = 'PASSED' AND probability IS NOT NULL THEN 'XGBoost ML Model' ELSE 'Hard Rules' END AS decision_type,
-    {r6("CASE WHEN hard_decision = 'PASSED' THEN round_even(probability * 100, 1) END", 'ml_score')}
+    {r6(f"CASE WHEN hard_decision = 'PASSED' THEN {py_round('probability * 100', 1)} END", 'ml_score')}
     FROM ruled LEFT JOIN (SELECT user_id, probability FROM predictions) USING (user_id)"""
 
 
@@ -180,7 +180,7 @@ PARTS["named_matched"] = f"""
 @check(f"""SELECT application_id, matched AS user_id, decision,
              CASE WHEN decision IN ('APPROVED', 'REJECTED — High credit risk') AND probability IS NOT NULL
                THEN 'XGBoost ML Model' ELSE 'Hard Rules' END AS decision_type,
-             {r6("CASE WHEN decision IN ('APPROVED', 'REJECTED — High credit risk') THEN round_even(probability * 100, 1) END", 'ml_score')}
+             {r6(f"CASE WHEN decision IN ('APPROVED', 'REJECTED — High credit risk') THEN {py_round('probability * 100', 1)} END", 'ml_score')}
            FROM (SELECT *, CASE WHEN birth IS NULL THEN 'REJECTED — No birth date found'
                WHEN years < 18 THEN 'REJECTED — Age is below 18' WHEN akb_score IS NULL THEN 'REJECTED — AKB Score is empty'
                WHEN akb_score < 300 THEN 'REJECTED — AKB Score too low' WHEN probability < 0.5
@@ -207,7 +207,7 @@ def d14_fraud_flags(t):
     return flagged.select("id", "recent_count", F.array_join("fraud_flags", " | ").alias("fraud_flags"))
 
 
-PARTS["offer_inputs"] = """SELECT p.user_id, round_even(p.probability * 100, 1) AS ml, k.akb_score AS score,
+PARTS["offer_inputs"] = f"""SELECT p.user_id, {py_round('p.probability * 100', 1)} AS ml, k.akb_score AS score,
     q.monthly_income AS income FROM predictions p LEFT JOIN newest_score k ON k.user_id = p.user_id
     LEFT JOIN people q ON q.user_id = p.user_id"""
 PARTS["capped_offers"] = offer_sql("offer_inputs", "ml", "score", "income", "user_id")
@@ -228,7 +228,7 @@ def d15_loan_offers(t):
 
 
 @check(f"""SELECT f.user_id, {reasons_sql('age', 'akb_score', 'ml', features=True)} AS reasons
-           FROM (SELECT *, round_even(probability * 100, 1) AS ml FROM feat_online JOIN (SELECT user_id, probability FROM predictions)
+           FROM (SELECT *, {py_round('probability * 100', 1)} AS ml FROM feat_online JOIN (SELECT user_id, probability FROM predictions)
              USING (user_id)) f""")
 def d16_reasons(t):
     from loanloom.plans.reasons import reason_list

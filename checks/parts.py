@@ -16,6 +16,11 @@ def age_sql(birth: str) -> str:
     )
 
 
+def py_round(expression: str, digits: int) -> str:
+    """Rounds the binary value half to even, as Python does: the formatted text, read back."""
+    return f"CAST(format('{{:.{digits}f}}', CAST({expression} AS DOUBLE)) AS DOUBLE)"
+
+
 LATE = "extract(DAY FROM (ls.created - ls.target_date))"
 
 PARTS: dict[str, str] = {
@@ -167,7 +172,7 @@ _BIRTH = "CAST(try_strptime(date_of_birth, '%d/%m/%Y') AS DATE)"
 
 def _scored(table: str, key: str) -> str:
     return f"""
-    SELECT *, CASE WHEN hard_decision = 'PASSED' THEN round_even(greatest(5.0, least(95.0, points)), 1) END AS ml_score
+    SELECT *, CASE WHEN hard_decision = 'PASSED' THEN {py_round('greatest(5.0, least(95.0, points))', 1)} END AS ml_score
     FROM (SELECT *, CAST(50.0 + CASE WHEN score >= 750 THEN 30 WHEN score >= 600 THEN 20 WHEN score >= 400 THEN 10
           WHEN score >= 300 THEN 5 ELSE 0 END
         + CASE WHEN income - expenses > 2000 THEN 20 WHEN income - expenses > 1000 THEN 14
@@ -195,7 +200,7 @@ PARTS["birth_dates"] = """
 
 
 def number_text(x: str) -> str:
-    return f"regexp_replace(CAST(CAST(round_even({x}, 2) AS DECIMAL(30,2)) AS VARCHAR), '(\\.\\d+?)0+$', '\\1')"
+    return f"regexp_replace(format('{{:.2f}}', CAST({x} AS DOUBLE)), '(\\.\\d+?)0+$', '\\1')"
 
 
 def reasons_sql(age: str, score: str, ml: str | None, features: bool = False, prefix: str = "") -> str:
@@ -210,7 +215,7 @@ def reasons_sql(age: str, score: str, ml: str | None, features: bool = False, pr
         f"ELSE concat('green: AKB score ', {number_text(score)}, ' is good') END",
     ]
     if features:
-        pct = f"round_even({p}payment_success_rate * 100, 1)"
+        pct = py_round(f"{p}payment_success_rate * 100", 1)
         items += [
             f"CASE WHEN {p}loans_paid_count > 0 THEN concat('green: ', {p}loans_paid_count, ' loan(s) fully paid back') "
             f"WHEN {p}loans_paid_count = 0 THEN 'yellow: No loans paid back yet' END",
@@ -232,17 +237,18 @@ def reasons_sql(age: str, score: str, ml: str | None, features: bool = False, pr
 
 def offer_sql(table: str, ml: str, score: str, income: str | None, keep: str) -> str:
     """Rows of `table` with the four offer columns."""
-    cap = f"CASE WHEN {income} > 0 THEN least(uncapped, {income} * 3) ELSE uncapped END" if income else "uncapped"
+    base = (f"CASE WHEN {score} IS NULL THEN NULL WHEN {ml} >= 90 THEN 10000 WHEN {ml} >= 80 THEN 7000 "
+            f"WHEN {ml} >= 70 THEN 5000 WHEN {ml} >= 60 THEN 3000 WHEN {ml} >= 50 THEN 1500 END::DOUBLE")
+    factor = f"CASE WHEN {score} >= 750 THEN 1.3 WHEN {score} >= 600 THEN 1.1 WHEN {score} >= 400 THEN 1.0 ELSE 0.8 END::DOUBLE"
+    cap = f"CASE WHEN {income} > 0 AND {income} * 3 < uncapped THEN {income} * 3 ELSE uncapped END" if income else "uncapped"
+    payment = "amount * (rate / 100.0 / 12.0) / (1 - pow(1 + rate / 100.0 / 12.0, -term))"
     return f"""
     SELECT {keep}, CAST(floor(amount) AS BIGINT) AS max_amount, rate AS interest_rate, term AS term_months,
-      round_even(amount * (rate / 100.0 / 12.0) / (1 - pow(1 + rate / 100.0 / 12.0, -term)), 2) AS monthly_payment
+      {py_round(payment, 2)} AS monthly_payment
     FROM (SELECT *, CASE WHEN amount IS NULL THEN NULL WHEN amount <= 3000 THEN 12 ELSE 24 END AS term,
         CASE WHEN amount IS NULL THEN NULL WHEN {ml} >= 80 THEN 12 WHEN {ml} >= 65 THEN 18 ELSE 24 END AS rate
-      FROM (SELECT *, {cap} AS amount
-        FROM (SELECT *, round_even(CASE WHEN {score} IS NULL THEN NULL WHEN {ml} >= 90 THEN 10000 WHEN {ml} >= 80 THEN 7000
-              WHEN {ml} >= 70 THEN 5000 WHEN {ml} >= 60 THEN 3000 WHEN {ml} >= 50 THEN 1500 END::DOUBLE
-              * CASE WHEN {score} >= 750 THEN 1.3 WHEN {score} >= 600 THEN 1.1 WHEN {score} >= 400 THEN 1.0
-                ELSE 0.8 END::DOUBLE / 100, 0) * 100 AS uncapped
+      FROM (SELECT *, CAST({cap} AS DOUBLE) AS amount
+        FROM (SELECT *, {py_round(f"({base}) * ({factor}) / 100", 0)} * 100 AS uncapped
           FROM {table}) o1) o2) o3"""
 
 

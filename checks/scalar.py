@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.parts import AS_OF as NOW, age_sql, number_text, r6
+from checks.parts import AS_OF as NOW, age_sql, number_text, py_round, r6
 from checks.registry import check
 from checks.relational import FAILED, batch_decisions, failed_payers, stand_in_importances
 from loanloom.fixtures import AS_OF
@@ -107,12 +107,15 @@ def f13_fractional_days(t):
     return t.customer_submissions.select("id", fn.fractional_days(F.col("submitted_at"), start).alias("days"))
 
 
-@check("""SELECT id, CAST(round_even(CAST(monthly_income AS DOUBLE) / 8, 1) AS DOUBLE) AS half_even,
-          CAST(round(CAST(monthly_income AS DOUBLE) / 8, 1) AS DOUBLE) AS half_up FROM customer_submissions""")
+@check(f"""SELECT id, {py_round('monthly_income::DOUBLE / 8', 1)} AS half_even, {py_round('monthly_income::DOUBLE / 200', 2)} AS cents,
+          round_even(monthly_income::DOUBLE / 8, 1) AS scaled_half_even, round(monthly_income::DOUBLE / 8, 1) AS half_up
+          FROM customer_submissions""")
 def f14_rounding(t):
     eighth = F.col("monthly_income").cast("double") / 8
     return t.customer_submissions.select(
-        "id", fn.half_even(eighth, 1).alias("half_even"), fn.half_up(eighth, 1).alias("half_up"))
+        "id", fn.half_even(eighth, 1).alias("half_even"),
+        fn.half_even(F.col("monthly_income").cast("double") / 200, 2).alias("cents"),
+        fn.scaled_half_even(eighth, 1).alias("scaled_half_even"), fn.half_up(eighth, 1).alias("half_up"))
 
 
 @check("SELECT id, greatest(5.0::DOUBLE, least(95.0::DOUBLE, akb_score)) AS clamped FROM customer_submissions WHERE akb_score IS NOT NULL")
@@ -158,7 +161,7 @@ def f20_score_band(t):
     return t.customer_submissions.select("id", fn.score_band(F.col("akb_score")).alias("band"))
 
 
-@check("""SELECT id, round_even(amount * (18.0 / 100.0 / 12.0) / (1 - pow(1 + 18.0 / 100.0 / 12.0, -term)), 2) AS payment FROM loans""")
+@check(f"""SELECT id, {py_round('amount * (18.0 / 100.0 / 12.0) / (1 - pow(1 + 18.0 / 100.0 / 12.0, -term))', 2)} AS payment FROM loans""")
 def f21_annuity(t):
     payment = fn.annuity(F.col("amount").cast("double"), F.lit(18.0), F.col("term"))
     return t.loans.select("id", payment.alias("payment"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -114,8 +115,39 @@ def average(total: Column, rows: Column) -> Column:
     return total.cast("double") / F.nullif(rows, F.lit(0)).cast("double")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def half_even(value: Column, digits: int = 0) -> Column:
-    return F.bround(value, digits)
+    """Nearest number with `digits` (at most 3) decimals, as Python's round gives it.
+
+    A tie goes to the even neighbour, and only a tie of the stored binary value is one: 2.675 is a
+    little below its text and gives 2.67. `bround` rounds the text and gives 2.68. So the fraction
+    is taken as a whole number of 2**-52 and rounded in integers.
+    """
+    scale = 10**digits
+
+    def rounded(x: Column) -> Column:
+        whole = F.floor(F.abs(x))
+        parts = (F.abs(x) - whole) * float(2**52)
+        finer = (parts - F.floor(parts)) * scale  # below 2**-52: only where |x| < 1
+        scaled = F.floor(parts) * scale + F.floor(finer)
+        kept = whole * scale + F.shiftright(scaled, 52)
+        rest = scaled.bitwiseAND(F.lit(2**52 - 1))
+        half = F.lit(2**51)
+        up = (rest > half) | ((rest == half) & ((finer > F.floor(finer)) | (kept % 2 == 1)))
+        size = (kept + up.cast("int")).cast("double") / scale
+        return F.when(x < 0, -size).otherwise(size)
+
+    return bind(value.cast("double"), rounded)
+
+
+def scaled_half_even(value: Column, digits: int = 0) -> Column:
+    """Rounding as numpy does it: scale, round half to even, scale back."""
+    scale = float(10**digits)
+    return F.rint(value.cast("double") * scale) / scale
 
 
 def half_up(value: Column, digits: int = 0) -> Column:

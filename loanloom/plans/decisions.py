@@ -229,7 +229,7 @@ def score_all(features: DataFrame, probabilities: DataFrame | None, as_of, varia
     else:
         raise ValueError(f"unknown variant {variant!r}")
     return scored.withColumns({
-        "ml_probability": F.when(by_rule.isNull(), rules.model_percent(F.col("probability"))),
+        "ml_probability": F.when(by_rule.isNull(), fn.scaled_half_even(F.col("probability") * 100, 1)),
         "decision": F.coalesce(by_rule, rules.class_decision(F.col("prediction")), F.lit(rules.APPROVED)),
         "decision_type": F.when(by_rule.isNull() & F.col("prediction").isNotNull(), rules.BY_MODEL)
         .otherwise(rules.BY_RULES),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from loanloom.functions.scalars import annuity, half_even
+from loanloom.functions.scalars import annuity, bind, half_even
 
 # Fixed values: (lower limit of the model score, base amount), (lower limit of the bureau score, multiplier),
 # (lower limit of the model score, yearly rate in percent).
@@ -34,13 +34,16 @@ def loan_offer(ml_score: Column, akb_score: Column, monthly_income: Column | Non
     amount = half_even(base * multiplier / 100) * 100
     if monthly_income is not None:
         income = monthly_income.cast("double")
-        amount = F.when(income > 0, F.least(amount, income * INCOME_MULTIPLE)).otherwise(amount)
+        amount = F.least(amount, F.when(income > 0, income * INCOME_MULTIPLE))
     rate = _by_limit(ml_score, RATES).otherwise(F.lit(HIGHEST_RATE))
-    term = F.when(amount <= SHORT_TERM_LIMIT, SHORT_TERM).otherwise(LONG_TERM)
-    offer = F.struct(
-        amount.cast("bigint").alias("max_amount"),
-        rate.alias("interest_rate"),
-        term.alias("term_months"),
-        annuity(amount, rate.cast("double"), term).alias("monthly_payment"),
-    )
-    return F.when(base.isNotNull() & akb_score.isNotNull(), offer)
+
+    def offer(lent: Column) -> Column:
+        term = F.when(lent <= SHORT_TERM_LIMIT, SHORT_TERM).otherwise(LONG_TERM)
+        return F.struct(
+            lent.cast("bigint").alias("max_amount"),
+            rate.alias("interest_rate"),
+            term.alias("term_months"),
+            annuity(lent, rate.cast("double"), term).alias("monthly_payment"),
+        )
+
+    return F.when(base.isNotNull() & akb_score.isNotNull(), bind(amount, offer))
