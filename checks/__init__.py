@@ -5,6 +5,7 @@ from __future__ import annotations
 
 def all_checks():
     """(queries, sql) of every registered check."""
-    from checks import decide, registry, relational, scalar  # noqa: F401 - importing registers
+    # Importing a module registers its checks.
+    from checks import decide, models, registry, relational, scalar, storage, streams  # noqa: F401
 
     return dict(registry.QUERIES), dict(registry.SQL)

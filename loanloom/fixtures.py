@@ -229,13 +229,13 @@ def sample(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One derived table as a lazy DataFrame."""
+def view(spark: SparkSession, folder: str, name: str, read=sample) -> DataFrame:
+    """One derived table as a lazy DataFrame; `read` may open the sample table as a stream instead."""
     spec = VIEWS[name]
-    df = sample(spark, folder, spec.source)
+    df = read(spark, folder, spec.source)
     if spec.join:
         other, left, right = spec.join
-        df = df.join(sample(spark, folder, other), F.col(left) == F.col(right))
+        df = df.join(read(spark, folder, other), F.col(left) == F.col(right))
     if spec.repeat:
         df = df.selectExpr("*", f"explode(sequence(0, CAST({spec.repeat} AS INT))) AS n")
     if spec.prepare:

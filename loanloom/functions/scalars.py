@@ -71,6 +71,17 @@ def epoch_micros(ts: Column) -> Column:
     return (seconds_between(ts.cast("timestamp_ntz"), as_timestamp("1970-01-01 00:00:00")) * 1000000).cast("bigint")
 
 
+def event_time(ts: Column) -> Column:
+    """A wall-clock timestamp as the instant with that time in UTC, whatever the session zone."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def wall_clock(instant: Column) -> Column:
+    """The UTC time of an instant, without a zone: the inverse of `event_time`."""
+    seconds = F.unix_micros(instant).cast("decimal(24,6)") / 1000000
+    return as_timestamp("1970-01-01 00:00:00") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def calendar_day(ts: Column) -> Column:
     return F.to_date(ts)
 

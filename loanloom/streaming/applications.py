@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loanloom.functions.scalars import event_time, wall_clock
 from loanloom.operators.velocity import GAP_TEXT, MANY_SUBMISSIONS, MANY_TEXT, SCORE_GAP, fraud_flags
 from loanloom.plans.decisions import decide_stateless
 from loanloom.sources.sinks import with_outcome
@@ -28,7 +29,7 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 
 def with_event_time(df: DataFrame, ts: str = "submitted_at") -> DataFrame:
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    return df.withColumn(ts, event_time(F.col(ts)))
 
 
 def decisions(applications: DataFrame, features: DataFrame | None, as_of) -> DataFrame:
@@ -58,7 +59,8 @@ def hourly_velocity(submissions: DataFrame, late: str = "1 hour") -> DataFrame:
         F.when(F.col("recent_count") >= MANY_SUBMISSIONS, MANY_TEXT),
         F.when(F.col("recent_high") - F.col("recent_low") > SCORE_GAP, GAP_TEXT),
     ))
-    return counted.withColumn("fraud_flags", flags)
+    window = F.struct(wall_clock(F.col("window.start")).alias("start"), wall_clock(F.col("window.end")).alias("end"))
+    return counted.withColumns({"window": window, "fraud_flags": flags})
 
 
 def daily_totals(submissions: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -70,7 +72,7 @@ def daily_totals(submissions: DataFrame, late: str = "1 hour") -> DataFrame:
         .agg(F.count("*").alias("total"), F.count_if(approved).alias("approved"),
              F.count_if(~approved).alias("rejected"))
     )
-    return counted.select(F.col("day.start").alias("day"), "total", "approved", "rejected")
+    return counted.select(F.to_date(wall_clock(F.col("day.start"))).alias("day"), "total", "approved", "rejected")
 
 
 def write_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
