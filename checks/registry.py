@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from checks.parts import PARTS
@@ -18,13 +18,12 @@ SQL: dict[str, str] = {}
 
 def tidy(df: DataFrame) -> DataFrame:
     """Decimals as doubles and doubles to six digits, so that both engines print the same value."""
-    def column(field: T.StructField):
-        name = F.col(f"`{field.name}`")
+    def column(field: T.StructField) -> str:
         if isinstance(field.dataType, (T.DecimalType, T.DoubleType, T.FloatType)):
-            return F.round(name.cast("double"), 6).alias(field.name)
-        return name
+            return f"round(CAST(`{field.name}` AS DOUBLE), 6) AS `{field.name}`"
+        return f"`{field.name}`"
 
-    return df.select(*[column(f) for f in df.schema.fields])
+    return df.selectExpr(*[column(f) for f in df.schema.fields])
 
 
 def check(sql: str | None = None):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -225,8 +226,15 @@ VIEWS: dict[str, View] = {
 }
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def sample(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """A given table. Its schema is read from the file once, not at every use."""
+    path = f"{folder}/{table}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def view(spark: SparkSession, folder: str, name: str, read=sample) -> DataFrame:

@@ -202,8 +202,9 @@ def marital_code(status: Column) -> Column:
 
 def fill_for_model(df: DataFrame, features) -> DataFrame:
     """Every feature as a double, NULL replaced by the model's sentinel."""
-    rest = [c for c in df.columns if c not in set(features)]
-    return df.select(*rest, *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in features])
+    wanted = set(features)
+    rest = [f"`{c}`" for c in df.columns if c not in wanted]
+    return df.selectExpr(*rest, *[f"coalesce(CAST({c} AS DOUBLE), {MISSING}D) AS {c}" for c in features])
 
 
 def score_band(score: Column) -> Column:

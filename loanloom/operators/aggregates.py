@@ -62,15 +62,15 @@ def states_per_user(states: DataFrame, loans: DataFrame) -> DataFrame:
     group-by sees the row count of the state table. Rows that are no payment, or on time, count as
     a delay of 0 in the average.
     """
-    late = whole_days(F.col("created"), F.col("target_date"))
-    payment = F.col("transaction_type") == "payment"
-    delay = F.when(payment, F.greatest(late, F.lit(0))).otherwise(0)
-    per_loan = states.groupBy("loan_id").agg(
+    late = F.greatest(whole_days(F.col("created"), F.col("target_date")), F.lit(0))
+    delay = F.when(F.col("transaction_type") == "payment", late).otherwise(0)
+    delayed = states.select("loan_id", "overdue_interest", "debt", delay.alias("delay"))
+    per_loan = delayed.groupBy("loan_id").agg(
         F.count("*").alias("states"),
-        count_if(payment & late.between(1, 30)).alias("delayed"),
-        count_if(payment & (late > 30)).alias("failed"),
-        F.sum(delay).alias("delay_sum"),
-        F.max(delay).alias("delay_max"),
+        count_if(F.col("delay").between(1, 30)).alias("delayed"),
+        count_if(F.col("delay") > 30).alias("failed"),
+        F.sum("delay").alias("delay_sum"),
+        F.max("delay").alias("delay_max"),
         F.sum("overdue_interest").alias("interest"),
         F.sum("debt").alias("debt"),
     )

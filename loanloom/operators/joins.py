@@ -40,6 +40,17 @@ def fan_out_left_join(left: DataFrame, right: DataFrame, key: str, rows_per_slic
     return joined.where(~F.col("_matched") | F.col("_present")).drop("_matched", "_slice", "_present")
 
 
+def left_join_sparse(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on a text key that is NULL in many left rows.
+
+    A hash join sends every NULL to one task. Such a row matches nothing, so its key is replaced by a
+    hash of the row, which no right key can equal, and the rows spread out.
+    """
+    nowhere = F.concat(F.lit("\u0000"), F.xxhash64(*left.columns).cast("string"))
+    keyed = left.withColumn("_key", F.coalesce(F.col(key), nowhere))
+    return keyed.join(right.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
 def profile(users: DataFrame, questionnaires: DataFrame, user_columns, questionnaire_columns) -> DataFrame:
     """Users with their questionnaire, if any; a user with several has several rows."""
     people = users.select(F.col("id").alias("user_id"), *user_columns)
@@ -102,7 +113,7 @@ def one_birth_date(questionnaires: DataFrame) -> DataFrame:
 def with_birth_date(applications: DataFrame, users: DataFrame, questionnaires: DataFrame) -> DataFrame:
     """Birth date of an existing customer: stored, else as supplied; an error text if neither is there."""
     known = users.select(F.col("id").alias("user_id")).join(one_birth_date(questionnaires), "user_id", "left")
-    joined = applications.join(known, "user_id", "left")
+    joined = left_join_sparse(applications, known, "user_id")
     birth = F.coalesce("stored_birth_date", parse_birth_date(F.col("date_of_birth")))
     error = (
         F.when(F.nullif(F.col("user_id"), F.lit("")).isNull(), "User ID is required for existing customers")
@@ -137,4 +148,4 @@ def users_by_name(users: DataFrame, names: DataFrame) -> DataFrame:
     )
     smallest = pieces.groupBy("_name").agg(F.min("user_id").alias("matched_user_id"))
     found = smallest.join(wanted, "_name", "left_semi")
-    return names.withColumn("_name", folded(F.col("name"))).join(found, "_name", "left").drop("_name")
+    return left_join_sparse(names.withColumn("_name", folded(F.col("name"))), found, "_name").drop("_name")

@@ -12,6 +12,7 @@ from loanloom.functions import scalars as fn
 from loanloom.operators.joins import (
     existing_applicants,
     fan_out_left_join,
+    left_join_sparse,
     score_lookup,
     users_by_name,
     with_birth_date,
@@ -35,13 +36,20 @@ ALREADY_EXISTS = "You already have an account! Your User ID is below."
 SCORE_WITHOUT_MODEL = 55
 
 
-def _with_probability(df: DataFrame, probabilities: DataFrame | None) -> DataFrame:
+def _with_probability(df: DataFrame, probabilities: DataFrame | None, sparse: bool = False) -> DataFrame:
+    """Rows with probability and prediction: joined by user, already there, or NULL without a model.
+
+    `sparse` says that many rows have no user; where users are known, their partitioning is kept.
+    """
+    if probabilities is None and {"probability", "prediction"} <= set(df.columns):
+        return df
     if probabilities is None:
         return df.withColumns({"probability": F.lit(None).cast("double"), "prediction": F.lit(None).cast("int")})
     if "prediction" not in probabilities.columns:
         predicted = (F.col("probability") >= 0.5).cast("int")
         probabilities = probabilities.withColumn("prediction", predicted)
-    return df.join(probabilities.select("user_id", "probability", "prediction"), "user_id", "left")
+    scores = probabilities.select("user_id", "probability", "prediction")
+    return left_join_sparse(df, scores, "user_id") if sparse else df.join(scores, "user_id", "left")
 
 
 # --- new applications ------------------------------------------------------------------------
@@ -117,12 +125,14 @@ def decide_stateless(applications: DataFrame, as_of, apply_income_cap: bool = Tr
 def decide_applications(
     applications: DataFrame, submissions: DataFrame, as_of, apply_income_cap: bool = True
 ) -> DataFrame:
-    """New applications end to end. Duplicates of an earlier submission carry its id and no decision."""
+    """New applications end to end. Duplicates of an earlier submission carry its id and no decision.
+
+    All rows take one pass; what was decided is blanked for duplicates.
+    """
     marked = mark_duplicates(applications, submissions)
-    fresh = marked.where(~F.col("already_exists"))
-    decided = fraud_flags(decide_stateless(fresh, as_of, apply_income_cap), submissions)
-    repeated = marked.where("already_exists")
-    return decided.unionByName(repeated, allowMissingColumns=True)
+    decided = fraud_flags(decide_stateless(marked, as_of, apply_income_cap), submissions)
+    added = [c for c in decided.columns if c not in marked.columns]
+    return decided.withColumns({c: F.when(~F.col("already_exists"), F.col(c)) for c in added})
 
 
 def submission_record(decided: DataFrame) -> DataFrame:
@@ -161,13 +171,12 @@ def decide_existing(
     probabilities: DataFrame | None,
     as_of,
 ) -> DataFrame:
-    """Applications of existing customers, with reasons and offer from their features (online policy)."""
+    """Applications of existing customers, with reasons and offer from their online features (one row per user)."""
     shown = "total_loans loans_paid_count loans_overdue payment_success_rate total_overdue_interest loans_written_off".split()
-    known = features.dropDuplicates(["user_id"]).select(
-        "user_id", *shown, F.col("monthly_income").alias("known_income"))
+    known = features.select("user_id", *shown, F.col("monthly_income").alias("known_income"))
     dated = with_birth_date(applications, users, questionnaires)
-    checked = apply_hard_rules(dated, as_of).join(known, "user_id", "left")
-    decided = combine_decisions(_with_probability(checked, probabilities), need_loans=True)
+    checked = left_join_sparse(apply_hard_rules(dated, as_of), known, "user_id")
+    decided = combine_decisions(_with_probability(checked, probabilities, sparse=True), need_loans=True)
     failed = F.col("decision_error").isNotNull()
     reasons = reason_list(F.col("age"), F.col("akb_score"), F.col("ml_score"), F.col)
     offer = offer_for(F.col("decision"), F.col("ml_score"), F.col("akb_score"), F.col("known_income"))
@@ -186,8 +195,8 @@ def decide_by_name(
     matched = users_by_name(users, apply_hard_rules(applications, as_of))
     stored = stored_features.select("user_id").distinct().withColumn("has_features", F.lit(True))
     # The applicant's own user_id plays no part here: the matched one does.
-    found = matched.drop("user_id").withColumnRenamed("matched_user_id", "user_id").join(stored, "user_id", "left")
-    scored = _with_probability(found, probabilities)
+    found = left_join_sparse(matched.drop("user_id").withColumnRenamed("matched_user_id", "user_id"), stored, "user_id")
+    scored = _with_probability(found, probabilities, sparse=True)
     usable = F.when(F.col("has_features"), F.col("probability"))
     decided = combine_decisions(scored.withColumn("probability", usable), need_loans=False)
     return decided.drop("hard_decision", "probability", "prediction", "has_features")
@@ -215,7 +224,8 @@ def score_all(features: DataFrame, probabilities: DataFrame | None, as_of, varia
     """The decision table: 14 columns, or 15 with the label for the `feature_table` variant.
 
     `batch` takes freshly built features; `feature_table` the stored table, where no age is known
-    and a missing bureau score goes on to the model.
+    and a missing bureau score goes on to the model. Features that went through `model.predict`
+    already hold the probability and need no join: pass None.
     """
     scored = _with_probability(features, probabilities)
     score = F.col("akb_score")

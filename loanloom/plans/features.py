@@ -99,7 +99,14 @@ def _with_questionnaire(per_user: DataFrame, tables: CreditTables) -> DataFrame:
     return fan_out_left_join(per_user, answers, "user_id")
 
 
-def assembled(tables: CreditTables) -> DataFrame:
+def _one_questionnaire(tables: CreditTables) -> DataFrame:
+    """The questionnaire with the smallest id per user: a lookup of one customer reads one row."""
+    answers = F.struct(*QUESTIONNAIRE_COLUMNS)
+    first = tables.questionnaires.groupBy("user_id").agg(F.min_by(answers, "id").alias("answers"))
+    return first.select("user_id", "answers.*")
+
+
+def assembled(tables: CreditTables, one_row_per_user: bool = False) -> DataFrame:
     """All eight per-user parts and the questionnaire (for features v3)."""
     per_user = assemble(
         _people(tables),
@@ -112,6 +119,8 @@ def assembled(tables: CreditTables) -> DataFrame:
         latest_history(tables.akb_history_summary),
         agg.documents_per_user(tables.doc_front_all),
     )
+    if one_row_per_user:
+        return assemble(per_user, _one_questionnaire(tables))
     return _with_questionnaire(per_user, tables)
 
 
@@ -192,13 +201,17 @@ def with_derived(df: DataFrame, as_of, null_policy: str = "batch") -> DataFrame:
 
 
 def build_features(tables: CreditTables, as_of, version: int = 3, null_policy: str = "batch") -> DataFrame:
-    """One row per customer: user_id, the version's features, grade and target. Missing values stay NULL."""
-    source = {1: assembled_v1, 2: assembled_reduced, 3: assembled}[version](tables)
+    """One row per customer: user_id, the version's features, grade and target. Missing values stay NULL.
+
+    A customer with several questionnaires has a row for each under the batch policy, one online.
+    """
+    if null_policy == "online" and version == 3:
+        source = assembled(tables, one_row_per_user=True)
+    else:
+        source = {1: assembled_v1, 2: assembled_reduced, 3: assembled}[version](tables)
     df = with_derived(source, as_of, null_policy).withColumn("target", target(version))
     features = FEATURES[version]
-    return df.select(
-        "user_id", *[F.col(f).cast("double").alias(f) for f in features], "akb_grade", "target",
-    )
+    return df.selectExpr("user_id", *[f"CAST({f} AS DOUBLE) AS {f}" for f in features], "akb_grade", "target")
 
 
 def model_matrix(df: DataFrame, version: int = 3, keep=("user_id", "target")) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loanloom.functions.scalars import fill_for_model
+from loanloom.functions.scalars import MISSING, fill_for_model
 from loanloom.operators.metrics import evaluation
 from loanloom.operators.ranking import stratified_split
 from loanloom.plans.features import FEATURES_V3
@@ -69,9 +69,7 @@ def predict(rows: DataFrame, model: PipelineModel | None) -> DataFrame:
         return rows.withColumns({"probability": F.lit(None).cast("double"), "prediction": F.lit(None).cast("int")})
     kept = rows.columns
     renamed = {f: f"_in_{f}" for f in feature_names(model)}
-    filled = rows.select("*", *[
-        F.coalesce(F.col(f).cast("double"), F.lit(-999.0)).alias(renamed[f]) for f in renamed
-    ])
+    filled = rows.selectExpr("*", *[f"coalesce(CAST({f} AS DOUBLE), {MISSING}D) AS {renamed[f]}" for f in renamed])
     assembler = model.stages[0].copy().setInputCols(list(renamed.values()))
     scored = model.stages[1].transform(assembler.transform(filled))
     return scored.select(
@@ -82,10 +80,10 @@ def predict(rows: DataFrame, model: PipelineModel | None) -> DataFrame:
 
 
 def probabilities(features: DataFrame, model: PipelineModel | None) -> DataFrame | None:
-    """(user_id, probability, prediction), one row per user; None without a model."""
+    """(user_id, probability, prediction) of features with one row per user (online); None without a model."""
     if model is None:
         return None
-    return predict(features, model).select("user_id", "probability", "prediction").dropDuplicates(["user_id"])
+    return predict(features, model).select("user_id", "probability", "prediction")
 
 
 def importances(spark: SparkSession, model: PipelineModel) -> DataFrame:

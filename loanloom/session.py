@@ -19,6 +19,8 @@ def local_session(app_name: str = "loanloom", cpus: str | int = "*", **conf: str
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        # Recording the Python call site of every column costs more than building the plan.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app_name)

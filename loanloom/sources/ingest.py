@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loanloom.sources import schemas
-from loanloom.sources.sinks import append_rows_to
+from loanloom.sources.readers import read_stored
+from loanloom.sources.sinks import append_checked
 
 # Fixed value: the one source column whose canonical name does not follow the rule.
 RENAMED = {"response.score.scoreExclusion": "response_score_exclusion"}
@@ -119,12 +120,9 @@ def reconcile(source: Mapping[str, DataFrame], loaded: Mapping[str, DataFrame])
     return per_side.withColumn("status", F.when(same, "OK").otherwise("MISMATCH"))
 
 
-def ingest(df: DataFrame, table: str, folder: str) -> DataFrame:
-    """Types, checks and appends one table; rejected rows go to `<table>_rejected`. Returns the checked rows."""
-    checked = conformed(typed(df, table), table)
-    append_rows_to(accepted(checked), f"{folder}/{table}")
-    append_rows_to(quarantined(checked), f"{folder}/{table}_rejected")
-    return checked
+def ingest(df: DataFrame, table: str, folder: str) -> None:
+    """Types, checks and appends one table in one pass, accepted and rejected rows in separate folders."""
+    append_checked(conformed(typed(df, table), table), f"{folder}/{table}")
 
 
 def ingest_all(sources: Mapping[str, DataFrame], folder: str) -> DataFrame:
@@ -132,5 +130,4 @@ def ingest_all(sources: Mapping[str, DataFrame], folder: str) -> DataFrame:
     spark = next(iter(sources.values())).sparkSession
     for table, df in sources.items():
         ingest(df, table, folder)
-    loaded = {table: spark.read.schema(schemas.struct_type(table)).parquet(f"{folder}/{table}") for table in sources}
-    return reconcile(sources, loaded)
+    return reconcile(sources, {table: read_stored(spark, folder, table) for table in sources})

@@ -34,8 +34,16 @@ def read_workbook(spark: SparkSession, folder: str, workbook: str, fmt: str = "c
 
 
 def read_stored(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A source table written earlier by ingestion, with its declared schema."""
-    return read_table(spark, f"{folder}/{table}", struct_type(table))
+    """The accepted rows of a table written by ingestion, with its declared schema."""
+    path = f"{folder}/{table}"
+    stored = spark.read.schema(struct_type(table).add("accepted", "boolean")).parquet(path)
+    return stored.where("accepted").drop("accepted")
+
+
+def read_rejected(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The rows ingestion kept out, with what is wrong with each."""
+    schema = struct_type(table).add("violations", "array<string>").add("accepted", "boolean")
+    return spark.read.schema(schema).parquet(f"{folder}/{table}").where("NOT accepted").drop("accepted")
 
 
 def read_jdbc(

@@ -12,6 +12,12 @@ def append_rows_to(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_checked(checked: DataFrame, path: str) -> None:
+    """Rows without violations to <path>/accepted=true, the others with their violations to accepted=false."""
+    marked = checked.withColumn("accepted", F.size("violations") == 0)
+    marked.write.mode("append").partitionBy("accepted").parquet(path)
+
+
 def replace_table(df: DataFrame, path: str) -> DataFrame:
     """Overwrites a derived table and counts it back from storage."""
     df.write.mode("overwrite").parquet(path)

@@ -6,11 +6,13 @@ Results go to files, never to the driver. Event times are TIMESTAMP, which water
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loanloom.functions.scalars import event_time, wall_clock
+from loanloom.operators.joins import left_join_sparse
 from loanloom.operators.velocity import GAP_TEXT, MANY_SUBMISSIONS, MANY_TEXT, SCORE_GAP, fraud_flags
 from loanloom.plans.decisions import decide_stateless
 from loanloom.sources.sinks import with_outcome
@@ -37,7 +39,7 @@ def decisions(applications: DataFrame, features: DataFrame | None, as_of) -> Dat
     decided = decide_stateless(applications, as_of)
     if features is None:
         return decided
-    return decided.join(features, "user_id", "left")
+    return left_join_sparse(decided, features, "user_id")
 
 
 def first_applications(submissions: DataFrame, horizon: str = "24 hours") -> DataFrame:
@@ -98,11 +100,18 @@ def split_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def velocity_writer(path: str, history: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Exact trailing-24-hour flags: each batch probes the submissions stored so far.
+def velocity_writer(path: str, history: Callable[[], DataFrame], hours: int = 24) -> Callable[[DataFrame, int], None]:
+    """Exact trailing flags: each batch probes the submissions stored so far, itself included.
 
-    The stored table is the state, so no operator state grows with a busy identity.
+    The stored table is the state, so no operator state grows with a busy identity. Only rows the
+    batch can see are read: the bounds are one row, and the filter on them reaches the scan.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        fraud_flags(batch, history()).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.persist()
+        first, last = batch.agg(F.min("submitted_at"), F.max("submitted_at")).first()
+        if first is not None:
+            seen = F.col("submitted_at").between(F.lit(first - timedelta(hours=hours)), F.lit(last))
+            flagged = fraud_flags(batch, history().where(seen))
+            flagged.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
     return write
