@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from loanloom.sources.schemas import SHEETS, struct_type
 
@@ -42,7 +42,7 @@ def read_stored(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def read_rejected(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """The rows ingestion kept out, with what is wrong with each."""
-    schema = struct_type(table).add("violations", "array<string>").add("accepted", "boolean")
+    schema = struct_type(table).add("violations", ArrayType(StringType())).add("accepted", "boolean")
     return spark.read.schema(schema).parquet(f"{folder}/{table}").where("NOT accepted").drop("accepted")
 
 

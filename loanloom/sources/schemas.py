@@ -123,6 +123,10 @@ NULLABLE_INTEGERS = {
 }
 
 _TYPES = {"text": "string", "timestamp": "timestamp_ntz"}
+_SIMPLE_TYPES = {
+    "string": T.StringType(), "timestamp_ntz": T.TimestampNTZType(), "date": T.DateType(), "boolean": T.BooleanType(),
+    "smallint": T.ShortType(), "int": T.IntegerType(), "bigint": T.LongType(),
+}
 _ENTRY = re.compile(r"(?P<name>\w+) (?P<type>\w+(?:\(\d+,\d+\))?)(?:\((?P<length>\d+)\))?(?P<required>!)?(?:=(?P<default>\w+))?")
 
 
@@ -144,8 +148,13 @@ def columns(table: str) -> list[SourceColumn]:
     ]
 
 
+def _data_type(name: str) -> T.DataType:
+    if name.startswith("decimal"):
+        precision, scale = re.findall(r"\d+", name)
+        return T.DecimalType(int(precision), int(scale))
+    return _SIMPLE_TYPES[name]
+
+
 def struct_type(table: str) -> T.StructType:
     """The table's schema for `spark.read.schema(...)`."""
-    return T.StructType([
-        T.StructField(c.name, T.DataType.fromDDL(c.type), not c.required) for c in columns(table)
-    ])
+    return T.StructType([T.StructField(c.name, _data_type(c.type), not c.required) for c in columns(table)])
