@@ -22,7 +22,7 @@ def trailing_activity(
     history: DataFrame,
     probe_ts: str = "submitted_at",
     hours: int = 24,
-    grain_seconds: int = 60,
+    grain_seconds: int = 600,
 ) -> DataFrame:
     """`probes` with the count, lowest and highest score of `history` rows of the same identity in (ts - hours, ts].
 
@@ -54,13 +54,16 @@ def trailing_activity(
         F.lit(False).alias("_asked"),
     ).unionByName(asked.select(*KEYS, "_pos", *nothing, F.lit(True).alias("_asked")))
 
+    def cell_of(pos: Column) -> Column:
+        return ((pos - F.pmod(pos, F.lit(grain))) / grain).cast("bigint")
+
     own = F.struct(F.col("_pos").alias("pos"), F.lit(False).alias("earlier"))
     ahead = F.struct((F.col("_pos") + span).alias("pos"), F.lit(True).alias("earlier"))
     placed = (
         marks.select("*", F.explode(F.when(F.col("_n") > 0, F.array(own, ahead)).otherwise(F.array(own))).alias("_at"))
         .select(*KEYS, "_n", "_low", "_high", F.col("_at.pos").alias("_pos"), F.col("_at.earlier").alias("_earlier"),
                 (F.col("_asked") & ~F.col("_at.earlier")).alias("_asked"))
-        .withColumn("_grain", F.floor(F.col("_pos") / grain))
+        .withColumn("_grain", cell_of(F.col("_pos")))
     )
 
     def part(column: str, earlier: bool) -> Column:
@@ -80,8 +83,7 @@ def trailing_activity(
     ).where("_asked")
 
     per_grain = (
-        placed.where(~F.col("_earlier"))
-        .groupBy(*KEYS, "_grain")
+        marks.groupBy(*KEYS, cell_of(F.col("_pos")).alias("_grain"))
         .agg(F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     )
     between = Window.partitionBy(*KEYS).orderBy("_grain").rangeBetween(-(grains_back - 1), -1)
