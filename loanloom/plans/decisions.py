@@ -64,17 +64,22 @@ def apply_hard_rules(applications: DataFrame, as_of, passed: str = rules.PASSED)
     return aged.withColumn("hard_decision", decision)
 
 
-def precheck(applications: DataFrame, as_of) -> DataFrame:
-    """Step 1 of a new application: the rules' result, with reasons where rejected. Nothing is stored."""
-    checked = apply_hard_rules(applications, as_of)
+def precheck(applications: DataFrame, as_of, submissions: DataFrame | None = None) -> DataFrame:
+    """Step 1 of a new application: the rules' result, with reasons where rejected. Nothing is stored.
+
+    With the stored submissions, an applicant who is already there gets that id and no result.
+    """
+    marked = applications if submissions is None else mark_duplicates(applications, submissions)
+    checked = apply_hard_rules(marked, as_of)
     rejected = F.col("hard_decision") != rules.PASSED
-    return checked.select(
+    result = checked.select(
         "*",
         rejected.alias("hard_rejected"),
         F.col("hard_decision").alias("decision"),
         F.when(rejected, rules.BY_RULES).alias("decision_type"),
         F.when(rejected, reason_list(F.col("age"), F.col("akb_score"))).alias("reasons"),
     ).drop("hard_decision")
+    return result if submissions is None else _blank_duplicates(result, marked.columns)
 
 
 def scorecard_decisions(applications: DataFrame, as_of) -> DataFrame:
@@ -110,6 +115,11 @@ def mark_duplicates(applications: DataFrame, submissions: DataFrame) -> DataFram
     ).drop("existing_id")
 
 
+def _blank_duplicates(decided: DataFrame, given: list[str]) -> DataFrame:
+    added = [c for c in decided.columns if c not in given]
+    return decided.withColumns({c: F.when(~F.col("already_exists"), F.col(c)) for c in added})
+
+
 def decide_stateless(applications: DataFrame, as_of, apply_income_cap: bool = True) -> DataFrame:
     """Rules, scorecard, reasons and offer: needs no other table, so it also runs on a stream."""
     decided = scorecard_decisions(applications, as_of)
@@ -131,8 +141,7 @@ def decide_applications(
     """
     marked = mark_duplicates(applications, submissions)
     decided = fraud_flags(decide_stateless(marked, as_of, apply_income_cap), submissions)
-    added = [c for c in decided.columns if c not in marked.columns]
-    return decided.withColumns({c: F.when(~F.col("already_exists"), F.col(c)) for c in added})
+    return _blank_duplicates(decided, marked.columns)
 
 
 def submission_record(decided: DataFrame) -> DataFrame:

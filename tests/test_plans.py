@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanloom import fixtures
-from loanloom.plans import decisions, features, labels, offers, rules
+from loanloom.plans import decisions, features, jobs, labels, model, offers, rules
 from loanloom.plans.reasons import reason_list
+from loanloom.session import fresh_path
 
 NOW = "2024-01-31 00:00:00"
 EDGES = [None, 0.0, 299.99, 300.0, 399.99, 400.0, 499.99, 500.0, 599.99, 600.0, 749.99, 750.0]
@@ -177,6 +178,9 @@ def test_duplicate_application_gets_no_decision(make):
     assert (bob.already_exists, bob.decision, bob.decision_type, bob.ml_score) == (
         False, "APPROVED", rules.BY_MODEL, points(33, 700.0, 1000.0, 0.0, 0.0, 0.0, False))
     assert bob.loan_recommendation.max_amount == 3000  # capped at three incomes
+    checked = {r.name: r for r in decisions.precheck(make(schema, new("ANN"), new("Bob")), NOW, stored).collect()}
+    assert (checked["ANN"].existing_user_id, checked["ANN"].decision) == ("4", None)
+    assert (checked["Bob"].hard_rejected, checked["Bob"].decision) == (False, rules.PASSED)
     free = decisions.decide_applications(make(schema, new("Bob")), stored, NOW, apply_income_cap=False).first()
     assert free.loan_recommendation.max_amount == 11000
     record = decisions.submission_record(decisions.decide_stateless(make(schema, new("Bob")), NOW)).first()
@@ -186,3 +190,20 @@ def test_duplicate_application_gets_no_decision(make):
 def test_older_pass_label(make):
     df = make("date_of_birth string, akb_score double", ("15/03/1990", 700.0))
     assert decisions.apply_hard_rules(df, NOW, passed="APPROVED").first().hard_decision == "APPROVED"
+
+
+def test_jobs_end_to_end(spark, credit):
+    quick = model.Training(trees=2, depth=2)
+    path = fresh_path(spark, "jobs")
+    customers = credit.users.count()
+    fitted, report = jobs.train_model(credit, NOW, f"{path}/model", quick)
+    assert {r.slice for r in report.collect()} == {"test", "train", "all"}
+    assert jobs.build_customer_features(credit, NOW, f"{path}/features").first().rows == customers
+    scored = jobs.score_customers(credit, fitted, NOW, f"{path}/decisions").first()
+    assert scored.total == customers == scored.approved + scored.rejected
+    exported = jobs.export_all(credit, fitted, NOW, f"{path}/export").first()
+    assert exported.total == customers == spark.read.parquet(f"{path}/export").count()
+    stored = spark.read.parquet(f"{path}/features")
+    assert stored.columns == features.COMPACT_22
+    shown = jobs.analytics(fixtures.view(spark, "/root/testdata/sf0.001", "customer_submissions"), NOW)
+    assert set(shown) == {"daily", "rejection_reasons", "akb_distribution", "stats"}
