@@ -296,9 +296,10 @@ PARTS["importances"] = "SELECT feature, CAST(n AS DOUBLE) / (SELECT CAST(sum(n)
 def stand_in_importances(t) -> DataFrame:
     df = features.build_features(t.credit, AS_OF)
     counts = df.agg(*[F.count_if(F.col(f) != 0).alias(f) for f in features.FEATURES_V3])
-    total = reduce(lambda a, b: a + b, [F.col(f) for f in features.FEATURES_V3])
-    shares = counts.select(*[(F.col(f).cast("double") / total.cast("double")).alias(f) for f in features.FEATURES_V3])
-    return shares.unpivot([], features.FEATURES_V3, "feature", "importance")
+    rows = counts.unpivot([], features.FEATURES_V3, "feature", "n")
+    # One row per feature reaches the window.
+    total = F.sum("n").over(Window.partitionBy())
+    return rows.select("feature", (F.col("n").cast("double") / total.cast("double")).alias("importance"))
 
 
 def _groups(groups: dict[str, str]) -> str:

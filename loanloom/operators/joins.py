@@ -26,28 +26,33 @@ def fan_out_left_join(left: DataFrame, right: DataFrame, key: str, rows_per_slic
     """Left join where `left` has one row per key and `right` may hold any number.
 
     Spark cannot split the right side of a left outer join, so a key with most of the rows would
-    land in one task. If there is such a key, the rows of heavy keys are cut into slices by a hash
-    and the left row is repeated once per slice; an empty slice of a matched key is dropped again.
+    land in one task. If there is such a key, equal rows are first counted together, then the rows of
+    a heavy key are cut into slices and the left row is repeated once per slice. An empty slice of a
+    matched key is dropped again, and counted rows are repeated after the join. Slices come from a
+    hash and not from row order, so a task that runs twice gives the same rows.
     """
     if not has_heavy_key(right, key, rows_per_slice):
         return left.join(right, key, "left")
     counts = right.groupBy(key).agg(F.ceil(F.count("*") / rows_per_slice).cast("int").alias("_slices"))
-    hot = counts.where("_slices > 1")
     sliced_left = (
         left.join(counts, key, "left")
         .withColumn("_matched", F.col("_slices").isNotNull())
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
         .drop("_slices")
     )
-    spread = F.pmod(F.xxhash64(*right.columns), F.coalesce("_slices", F.lit(1))).cast("int")
+    copies = right.groupBy(*right.columns).agg(F.count("*").alias("_copies"))
+    chunks = F.sequence(F.lit(0), (F.ceil(F.col("_copies") / rows_per_slice) - 1).cast("int"))
+    chunk_size = F.least(F.col("_copies") - F.col("_chunk") * rows_per_slice, F.lit(rows_per_slice)).cast("int")
+    spread = F.pmod(F.xxhash64(*right.columns, "_chunk"), F.coalesce("_slices", F.lit(1))).cast("int")
     sliced_right = (
-        right.join(hot, key, "left")
-        .withColumn("_slice", spread)
-        .drop("_slices")
-        .withColumn("_present", F.lit(True))
+        copies.withColumn("_chunk", F.explode(chunks))
+        .join(counts.where("_slices > 1"), key, "left")
+        .withColumns({"_slice": spread, "_times": chunk_size})
+        .drop("_slices", "_copies", "_chunk")
     )
-    joined = sliced_left.join(sliced_right, [key, "_slice"], "left")
-    return joined.where(~F.col("_matched") | F.col("_present")).drop("_matched", "_slice", "_present")
+    joined = sliced_left.join(sliced_right, [key, "_slice"], "left").where("NOT _matched OR _times IS NOT NULL")
+    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1)))))
+    return repeated.drop("_matched", "_slice", "_times", "_copy")
 
 
 def left_join_sparse(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loanloom.functions.scalars import event_time, wall_clock
+from loanloom.functions.scalars import as_timestamp, event_time, wall_clock
 from loanloom.operators.joins import left_join_sparse
 from loanloom.operators.velocity import GAP_TEXT, MANY_SUBMISSIONS, MANY_TEXT, SCORE_GAP, fraud_flags
 from loanloom.plans.decisions import decide_stateless
@@ -108,9 +108,10 @@ def velocity_writer(path: str, history: Callable[[], DataFrame], hours: int = 24
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        first, last = batch.agg(F.min("submitted_at"), F.max("submitted_at")).first()
+        sent = F.col("submitted_at").cast("timestamp_ntz")
+        first, last = batch.agg(F.min(sent), F.max(sent)).first()
         if first is not None:
-            seen = F.col("submitted_at").between(F.lit(first - timedelta(hours=hours)), F.lit(last))
+            seen = sent.between(as_timestamp(first - timedelta(hours=hours)), as_timestamp(last))
             flagged = fraud_flags(batch, history().where(seen))
             flagged.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         batch.unpersist()

@@ -76,7 +76,8 @@ def test_latest_breaks_ties_by_id_and_puts_missing_times_first(make):
 @pytest.mark.parametrize("rows_per_slice", [10, 1_000_000])
 def test_fan_out_join_is_exact_with_a_heavy_key(make, rows_per_slice):
     left = make("user_id string, x int", *[(f"u{i}", i) for i in range(20)])
-    right = make("user_id string, q int", *[("u3", i) for i in range(137)], ("u5", 1), ("u5", 1), ("other", 2))
+    copies = [("u3", 7)] * 45 + [("u5", 1), ("u5", 1), ("u6", None)]
+    right = make("user_id string, q int", *[("u3", i) for i in range(137)], *copies, ("other", 2), (None, 3))
     got = rows(joins.fan_out_left_join(left, right, "user_id", rows_per_slice).select("user_id", "x", F.coalesce("q", F.lit(-1))))
     assert got == rows(left.join(right, "user_id", "left").select("user_id", "x", F.coalesce("q", F.lit(-1))))
 

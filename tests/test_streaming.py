@@ -48,11 +48,14 @@ def test_first_application_per_identity_and_horizon(spark, arrivals):
     assert got.count() == 5 and got.select("name").distinct().count() == 5
 
 
-def test_exact_velocity_equals_batch(spark, arrivals):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_exact_velocity_equals_batch(spark, arrivals, zone):
     folder, data = arrivals
+    spark.conf.set("spark.sql.session.timeZone", zone)
     path = fresh_path(spark, "velocity")
     query = streams.each_batch(open_stream(spark, folder), streams.velocity_writer(f"{path}/rows", lambda: data), f"{path}/checkpoint")
     query.awaitTermination()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     got = spark.read.parquet(f"{path}/rows").select("id", "recent_count", "fraud_flags")
     assert sorted(got.collect()) == sorted(velocity.fraud_flags(data, data).select("id", "recent_count", "fraud_flags").collect())
 
