@@ -8,12 +8,13 @@ level, and each of the signature's components keeps the earliest of its points.
 a document stops once no later point can win; most shingles need one or two points whatever the signature's
 length. Two documents agree in a component with the probability of their weighted Jaccard similarity.
 
-Steps: equal texts become one node; bands of the signature name buckets; in each bucket the node that meets most
-others leads, and every member is verified against its leader on the exact multisets; links grow to components;
-where a bucket still holds several components, all its pairs across components are verified as well, so no link
-between different texts is lost to the leaders. A pair is verified only if its signatures agree in 55 % of the
-components, six standard deviations under the threshold. With 24 bands of 4 a pair at 0.8 meets with a
-probability of 0.999997.
+Steps: equal texts become one node; bands of the signature name buckets; in each bucket, and in each finer bucket
+of two or three adjoining bands, the node that meets most others leads, and every member is verified against its
+leader on the exact multisets; links grow to components. Where a bucket still holds several components, its
+members outside the largest one are compared with all members, block by block, until each has a verified link to
+a component or none of its members is left. So no two linked texts of different classes remain, though a hot group
+is never compared pair by pair. A pair is verified only if its signatures agree in 55 % of the components, six
+standard deviations under the threshold. With 24 bands of 4 a pair at 0.8 meets with a probability of 0.999997.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`, unchanged; a text of fewer than five words is one shingle of
 them all; a text without words is in no pair, but equal texts always share a class; a null text is empty; the
@@ -37,8 +38,12 @@ from loanloom.session import materialise
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
+#: Adjoining bands that name a bucket in which a leader is chosen.
+LEADER_BANDS = (1, 2, 3)
 #: Agreement of signatures below which a pair isn't verified.
 LEAST_AGREEMENT = 0.55
+#: Members of an open bucket that a task compares with as many others.
+BLOCK_NODES = 1000
 SIGNATURE = "node binary, n_shingles bigint, signature binary"
 _LOW = np.uint64(2**32 - 1)
 
@@ -130,13 +135,13 @@ def _node(text: Column) -> Column:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that their texts stay near 4 MB; a longer text is a block of its own."""
+    """Batches cut so that their texts stay near 2 MB; a longer text is a block of its own."""
     for batch in batches:
         size = np.cumsum(texts_of(batch.column("text")).lengths)
         at = 0
         while at < batch.num_rows:
             base = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, base + (4 << 20), side="right")))
+            to = max(at + 1, int(np.searchsorted(size, base + (2 << 20), side="right")))
             yield batch.slice(at, to - at)
             at = to
 
@@ -168,17 +173,41 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for x, y in zip(batch.column("items_a"), batch.column("items_b")):
-            one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = np.concatenate([one, two])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(common / (len(both) - common) if len(both) else 0.0)
+        out = [
+            _jaccard(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair))
+            for pair in zip(batch.column("items_a"), batch.column("items_b"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
 
+def _link_across(table: pa.Table) -> pa.Table:
+    """One verified link from each outer node of a block to each other component that has one in the block."""
+    items = [np.frombuffer(v.as_buffer(), np.uint64) for v in table["items"].combine_chunks()]
+    signed = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u4").reshape(len(items), -1)
+    node, roots = table["node"].to_pylist(), table["root"].to_pylist()
+    root = np.unique(np.array([int.from_bytes(r, "big") % 2**63 for r in roots], np.int64), return_inverse=True)[1]
+    outer = table["outer"].to_numpy()
+    inner = np.flatnonzero(~outer)
+    out: set[tuple[bytes, bytes]] = set()
+    for x in np.flatnonzero(outer):
+        agreement = (signed[inner] == signed[x]).mean(axis=1)
+        close = np.flatnonzero((agreement >= LEAST_AGREEMENT) & (root[inner] != root[x]))
+        met: set[int] = set()
+        for y in inner[close[np.argsort(-agreement[close], kind="stable")]]:
+            if root[y] not in met and _jaccard(items[x], items[y]) >= THRESHOLD:
+                met.add(root[y])
+                out.add((min(node[x], node[y]), max(node[x], node[y])))
+    pairs = sorted(out)
+    return pa.table([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _jaccard(one: np.ndarray, two: np.ndarray) -> float:
+    both = np.concatenate([one, two])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common) if len(both) else 0.0
+
+
 def _agreement(one: str, two: str) -> Column:
     return F.expr(
         f"size(filter(sequence(0, {BANDS * ROWS - 1}), i -> substring({one}, 4 * i + 1, 4) = substring({two}, 4 * i + 1, 4)))"
@@ -225,26 +254,47 @@ class NearCopies:
             close = close.join(self.sets.select(F.col("node").alias(side), F.col("items").alias(f"items_{side}")), side)
         return close.select("a", "b", "items_a", "items_b").mapInArrow(_similarity, "a binary, b binary, similarity double")
 
+    def _led(self) -> DataFrame:
+        """Distinct pairs (a, b) of a node and the leader of one of its buckets."""
+        known = self.buckets.select("node", "degree").distinct().join(self.nodes, "node")
+        pairs = None
+        for wide in LEADER_BANDS:
+            names = F.expr(
+                f"transform(sequence(0, {BANDS - wide}), i -> "
+                f"xxhash64(i, substring(signature, i * {4 * ROWS} + 1, {4 * ROWS * wide})))")
+            members = known.select("node", "degree", F.explode(names).alias("bucket"))
+            leaders = members.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
+            led = members.join(leaders, "bucket").where("node <> leader").select(
+                F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+            pairs = led if pairs is None else pairs.unionByName(led)
+        return pairs.distinct()
+
+    def _across(self, classes: DataFrame) -> DataFrame:
+        """Verified links (a, b) between members of a bucket that are in different components so far."""
+        labelled = self.buckets.join(classes, "node", "left").select(
+            "bucket", "node", F.coalesce("root", "node").alias("root"))
+        parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        open_buckets = parts.groupBy("bucket").agg(
+            F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).where("n > main.n").select(
+            "bucket", F.col("main.root").alias("main"),
+            F.ceil(F.col("n") / BLOCK_NODES).alias("blocks"),
+            F.ceil((F.col("n") - F.col("main.n")) / BLOCK_NODES).alias("outer_blocks"))
+        members = labelled.join(open_buckets, "bucket")
+        every = members.select(
+            "bucket", "node", "root", F.lit(False).alias("outer"), F.pmod(F.xxhash64("node"), "blocks").alias("block"),
+            F.explode(F.expr("sequence(0L, outer_blocks - 1)")).alias("outer_block"))
+        outer = members.where("root <> main").select(
+            "bucket", "node", "root", F.lit(True).alias("outer"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"),
+            F.pmod(F.xxhash64("node"), "outer_blocks").alias("outer_block"))
+        return every.unionByName(outer).join(self.sets, "node").groupBy("bucket", "block", "outer_block").applyInArrow(
+            _link_across, "a binary, b binary").distinct()
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Verified links that connect every class, and the classes (node, root) of linked nodes."""
-        leader = self.buckets.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("best"))
-        led = self.buckets.join(leader.select("bucket", F.col("best.node").alias("leader")), "bucket")
-        pairs = led.where("node <> leader").select(
-            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        tested = materialise(self.verified(pairs))
+        tested = materialise(self.verified(self._led()))
         links = tested.where(F.col("similarity") >= THRESHOLD).select("a", "b")
         classes = components(links)
-        # What the leaders left apart: pairs across components inside a bucket.
-        labelled = self.buckets.join(classes, "node", "left").select(
-            "bucket", "node", F.coalesce("root", "node").alias("root"))
-        open_buckets = labelled.groupBy("bucket").agg(
-            F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        rest = materialise(labelled.join(open_buckets, "bucket", "left_semi"))
-        other = rest.select("bucket", F.col("node").alias("node_2"), F.col("root").alias("root_2"))
-        across = rest.join(other, "bucket").where("node < node_2 AND root <> root_2").select(
-            F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
-        left = across.join(pairs, ["a", "b"], "left_anti")
-        more = materialise(self.verified(left).where(F.col("similarity") >= THRESHOLD).select("a", "b"))
+        more = materialise(self._across(classes))
         if not more.take(1):
             return links, classes
         links = links.unionByName(more)
