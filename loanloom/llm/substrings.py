@@ -3,12 +3,15 @@
 A difference cover D modulo v has, for any two positions, a shift k < v that brings both into D. So two equal
 strings of `length` bytes share an aligned anchor: the window of `length` - v + 1 bytes that starts k bytes in.
 Hashing windows at positions in D alone therefore finds every match. Around shared anchors each place where a
-string of the full length may start is then tested by its own 64-bit hash, and owners with a smaller doc_id win.
+string of the full length may start is then tested by 64-bit hashes, and owners with a smaller doc_id win.
 
-Three reads of the chunks (lookups.py), the exchange of texts being shared by them:
+Four reads of the chunks (lookups.py), the exchange of texts being shared by them:
 1. anchors of texts that copy no earlier document -> which anchors occur in several chunks;
-2. full strings around shared anchors, with the smallest id of the chunk -> which have a smaller id elsewhere;
-3. the bytes to remove.
+2. around shared anchors, long windows (`length` + v - 1 bytes) at cover positions, with the smallest id of the
+   chunk -> which have a smaller id elsewhere; every string inside such a window is settled;
+3. the single strings not settled, at the ends of matches and in the first owners -> the same question. A settled
+   string need not be sent even as an owner, since the document with its smallest id never settles it;
+4. the bytes to remove.
 Whole copies are settled before by a salted grouping of digests. Two different strings meet under one 64-bit
 hash with a chance of one in 2^64 per pair; nothing else is approximate.
 
@@ -59,23 +62,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = loo
     search = Search(length, layout)
     chunks = lookups.chunked(docs, layout).groupBy("chunk")
 
-    first = chunks.cogroup(copies(docs, layout).groupBy("chunk")).applyInArrow(lambda l, r: search.ask_anchors(l, r), lookups.MESSAGE)
+    first = chunks.cogroup(copies(docs, layout).groupBy("chunk")).applyInArrow(
+        lambda l, r: search.ask_anchors(l, r), lookups.MESSAGE)
     shared = first.groupBy("bucket").applyInArrow(lookups.answer_elsewhere, lookups.MESSAGE)
-    second = chunks.cogroup(shared.groupBy("chunk")).applyInArrow(lambda l, r: search.ask_strings(l, r), lookups.MESSAGE)
+    second = chunks.cogroup(shared.groupBy("chunk")).applyInArrow(lambda l, r: search.ask_long(l, r), lookups.MESSAGE)
     owned = second.groupBy("bucket").applyInArrow(lookups.answer_smaller, lookups.MESSAGE)
+    third = chunks.cogroup(owned.groupBy("chunk")).applyInArrow(lambda l, r: search.ask_strings(l, r), lookups.MESSAGE)
+    owned = third.groupBy("bucket").applyInArrow(lookups.answer_smaller, lookups.MESSAGE)
     return chunks.cogroup(owned.groupBy("chunk")).applyInArrow(lambda l, r: search.remove(l, r), RESULT)
 
 
 class Search:
-    """The three passes over a chunk."""
+    """The four passes over a chunk."""
 
     def __init__(self, length: int, layout: Layout):
         self.length, self.period = length, period_for(length)
-        self.width = length - self.period + 1
+        self.width, self.long = length - self.period + 1, length + self.period - 1
         self.cover = np.isin(np.arange(self.period), COVERS[self.period])
         density = len(COVERS[self.period]) / self.period
         self.bits = layout.filter_bits(density)
-        self.anchor_buckets, self.string_buckets = layout.buckets(density), layout.buckets(0.2)
+        self.anchor_buckets, self.string_buckets = layout.buckets(density), layout.buckets(0.1)
 
     def _anchors(self, chunk: Chunk, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position, key and document of every anchor, position by position."""
@@ -92,7 +98,7 @@ class Search:
         _, keys, _ = self._anchors(chunk, copied)
         return ask(chunk.number, np.unique(keys), self.bits, self.anchor_buckets, carry=pack_bits(copied))
 
-    def ask_strings(self, left: pa.Table, right: pa.Table) -> pa.Table:
+    def ask_long(self, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunk_of(left)
         elsewhere, carried = replies_of(right)
         copied = unpack_bits(carried)
@@ -106,35 +112,67 @@ class Search:
         low = np.maximum(at[hit] - self.period + 1, texts.starts[doc[hit]])
         high = np.minimum(at[hit] + 1, texts.starts[doc[hit] + 1] - self.length + 1)
         fits = low < high
-        maybe = np.flatnonzero(covered(low[fits], high[fits], len(texts.data)))
-        distinct, owners, _, _ = self._strings(chunk, maybe)
-        mask = np.zeros(len(texts.data), bool)
-        mask[maybe] = True
-        blob = pack_bits(copied)
-        carry = struct.pack("<I", len(blob)) + blob + pack_bits(mask)
-        return ask(chunk.number, distinct, 64, self.string_buckets, owners, carry)
-
-    def _strings(self, chunk: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        maybe = covered(low[fits], high[fits], len(texts.data))
+        distinct, owners, _, _ = self._strings(chunk, self._long_starts(chunk, maybe), self.long)
+        return ask(chunk.number, distinct, 64, self.string_buckets, owners, _join(pack_bits(copied), pack_bits(maybe)))
+
+    def _long_starts(self, chunk: Chunk, maybe: np.ndarray) -> np.ndarray:
+        """Cover positions where all the strings of a long window may be shared."""
+        at = np.flatnonzero(maybe)
+        at = at[at + self.long <= len(chunk.texts.data)]
+        doc = np.searchsorted(chunk.texts.starts, at, side="right") - 1
+        at = at[self.cover[(at - chunk.texts.starts[doc]) % self.period]]
+        whole = np.concatenate([[0], np.cumsum(maybe)])
+        return at[whole[at + self.period] - whole[at] == self.period]
+
+    def _strings(self, chunk: Chunk, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct strings and their smallest ids; for each place its string and its document's id."""
-        keys = byte_runs(chunk.texts.data, self.length, at)
+        keys = byte_runs(chunk.texts.data, length, at)
         ids = chunk.ids[np.searchsorted(chunk.texts.starts, at, side="right") - 1]
         # Documents stand in order of id, so the first place of a string has its smallest id.
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
         return distinct, ids[first], which, ids
 
+    def ask_strings(self, left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = chunk_of(left)
+        smaller, carried = replies_of(right)
+        copied, maybe = map(unpack_bits, _split(carried))
+        at = self._long_starts(chunk, maybe)
+        _, owners, which, ids = self._strings(chunk, at, self.long)
+        long = at[smaller[which] | (ids > owners[which])]
+        settled = covered(long, long + self.period, len(maybe))
+        rest = maybe & ~settled
+        distinct, owners, _, _ = self._strings(chunk, np.flatnonzero(rest), self.length)
+        carry = _join(pack_bits(copied), pack_bits(settled), pack_bits(rest))
+        return ask(chunk.number, distinct, 64, self.string_buckets, owners, carry)
+
     def remove(self, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunk_of(left)
         texts = chunk.texts
         smaller, carried = replies_of(right)
-        cut = 4 + struct.unpack_from("<I", carried)[0]
-        copied, maybe = unpack_bits(carried[4:cut]), np.flatnonzero(unpack_bits(carried[cut:]))
-        _, owners, which, ids = self._strings(chunk, maybe)
-        gone = maybe[smaller[which] | (ids > owners[which])]
+        copied, settled, rest = map(unpack_bits, _split(carried))
+        at = np.flatnonzero(rest)
+        _, owners, which, ids = self._strings(chunk, at, self.length)
+        settled[at[smaller[which] | (ids > owners[which])]] = True
+        gone = np.flatnonzero(settled)
         removed = covered(gone, gone + self.length, len(texts.data))
         removed |= np.repeat(copied & (texts.lengths >= self.length), texts.lengths)
         return _cut(chunk, removed)
 
 
+def _join(*blobs: bytes) -> bytes:
+    return b"".join(struct.pack("<I", len(b)) + b for b in blobs)
+
+
+def _split(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        size, = struct.unpack_from("<I", blob, at)
+        out.append(blob[at + 4:at + 4 + size])
+        at += 4 + size
+    return out
+
+
 def _cut(chunk: Chunk, removed: np.ndarray) -> pa.Table:
     texts = chunk.texts
     edge = np.zeros(len(removed) + 1, bool)
