@@ -36,9 +36,9 @@ class Layout:
     def buckets(self, keys_per_byte: float) -> int:
         return max(1, math.ceil(self.bytes * keys_per_byte / BUCKET_KEYS))
 
-    def filter_bits(self, keys_per_byte: float) -> int:
-        """Bits of a key so that a chance meeting befalls under one key in a hundred at this input size."""
-        return min(64, max(32, math.ceil(math.log2(self.bytes * keys_per_byte + 1)) + 7))
+    def filter_bits(self, keys_per_byte: float, spare: int = 7) -> int:
+        """Bits of a key so that a chance meeting befalls one key in 2^spare at this input size."""
+        return min(64, max(32, math.ceil(math.log2(self.bytes * keys_per_byte + 1)) + spare))
 
 
 def layout_of(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Layout:

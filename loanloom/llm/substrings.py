@@ -80,7 +80,8 @@ class Search:
         self.width, self.long = length - self.period + 1, length + self.period - 1
         self.cover = np.isin(np.arange(self.period), COVERS[self.period])
         density = len(COVERS[self.period]) / self.period
-        self.bits = layout.filter_bits(density)
+        # A chance meeting opens as many strings as the period is long, so it must be rare.
+        self.bits = layout.filter_bits(density, spare=13)
         self.anchor_buckets, self.string_buckets = layout.buckets(density), layout.buckets(0.1)
 
     def _anchors(self, chunk: Chunk, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
