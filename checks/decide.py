@@ -128,8 +128,9 @@ PARTS["existing_offers"] = offer_sql(
              {OFFER}
            FROM existing_decided JOIN existing_offers ON offer_id = application_id""")
 def d9_existing_customers(t):
-    known = features.online_features(t.credit, AS_OF)
     existing = t.applications.where(F.col("customer_type") == "existing")
+    asked = existing.where("user_id IS NOT NULL").select("user_id").distinct()
+    known = features.online_features(t.credit, AS_OF, user_ids=asked)
     decided = decisions.decide_existing(existing, t.users, t.questionnaires, known, t.predictions, AS_OF)
     return decided.select(
         "application_id", "decision_error", "age", "decision", "decision_type", "ml_score",
@@ -267,7 +268,7 @@ def d18_decide_all(t):
 
 PARTS["new_offers"] = offer_sql(
     "(SELECT *, CASE WHEN NOT already_exists AND decision = 'APPROVED' THEN coalesce(nullif(ml_score, 0), 55) END AS offered FROM new_decided) e",
-    "offered", "akb_score", "monthly_income", "application_id AS offer_id")
+    "offered", "akb_score", None, "application_id AS offer_id")
 
 
 def _fresh(column: str) -> str:

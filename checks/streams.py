@@ -41,7 +41,7 @@ def r1_decision_stream(t):
 @check("SELECT DISTINCT lower(name) AS name, lower(surname) AS surname, date_of_birth FROM customer_submissions")
 def r2_first_applications(t):
     rows = _to_files(t, streams.first_applications(_stream(t, "customer_submissions")), "first")
-    return rows.select("name", "surname", "date_of_birth")
+    return rows.select(F.lower("name").alias("name"), F.lower("surname").alias("surname"), "date_of_birth")
 
 
 PARTS["hour_windows"] = """

@@ -138,6 +138,8 @@ def half_even(value: Column, digits: int = 0) -> Column:
     little below its text and gives 2.67. `bround` rounds the text and gives 2.68. So the fraction
     is taken as a whole number of 2**-52 and rounded in integers.
     """
+    if not 0 <= digits <= 3:
+        raise ValueError("more than 3 decimals do not fit the integer arithmetic")
     scale = 10**digits
 
     def rounded(x: Column) -> Column:

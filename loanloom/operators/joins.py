@@ -12,47 +12,16 @@ from loanloom.operators.latest import latest_score
 IDENTITY = ("name", "surname", "date_of_birth")
 
 
-def has_heavy_key(df: DataFrame, key: str, rows: int) -> bool:
-    """Whether some key seems to hold more than `rows` rows and more than a thousandth of all.
-
-    One sketch per task finds the most frequent key without a shuffle. Its count may be off by about
-    2 in 10,000 of all rows; that only decides which of two exact plans is taken.
-    """
-    most = df.agg(F.count("*").alias("total"), F.expr(f"approx_top_k(`{key}`, 1)").alias("top")).first()
-    return bool(most.top) and most.top[0]["count"] > max(rows, most.total / 1000)
-
-
-def fan_out_left_join(left: DataFrame, right: DataFrame, key: str, rows_per_slice: int = 1_000_000) -> DataFrame:
+def fan_out_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join where `left` has one row per key and `right` may hold any number.
 
-    Spark cannot split the right side of a left outer join, so a key with most of the rows would
-    land in one task. If there is such a key, equal rows are first counted together, then the rows of
-    a heavy key are cut into slices and the left row is repeated once per slice. An empty slice of a
-    matched key is dropped again, and counted rows are repeated after the join. Slices come from a
-    hash and not from row order, so a task that runs twice gives the same rows.
+    Spark cannot split the right side of a left outer join, so a key with most of the rows would land in
+    one task. An inner join has no such limit: adaptive execution splits a heavy key on either side. The
+    rows of `left` that match nothing follow from an anti join with the distinct keys, which combine on the
+    map side. It is one plan at any size, and no job runs while it is built.
     """
-    if not has_heavy_key(right, key, rows_per_slice):
-        return left.join(right, key, "left")
-    counts = right.groupBy(key).agg(F.ceil(F.count("*") / rows_per_slice).cast("int").alias("_slices"))
-    sliced_left = (
-        left.join(counts, key, "left")
-        .withColumn("_matched", F.col("_slices").isNotNull())
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
-        .drop("_slices")
-    )
-    copies = right.groupBy(*right.columns).agg(F.count("*").alias("_copies"))
-    chunks = F.sequence(F.lit(0), (F.ceil(F.col("_copies") / rows_per_slice) - 1).cast("int"))
-    chunk_size = F.least(F.col("_copies") - F.col("_chunk") * rows_per_slice, F.lit(rows_per_slice)).cast("int")
-    spread = F.pmod(F.xxhash64(*right.columns, "_chunk"), F.coalesce("_slices", F.lit(1))).cast("int")
-    sliced_right = (
-        copies.withColumn("_chunk", F.explode(chunks))
-        .join(counts.where("_slices > 1"), key, "left")
-        .withColumns({"_slice": spread, "_times": chunk_size})
-        .drop("_slices", "_copies", "_chunk")
-    )
-    joined = sliced_left.join(sliced_right, [key, "_slice"], "left").where("NOT _matched OR _times IS NOT NULL")
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1)))))
-    return repeated.drop("_matched", "_slice", "_times", "_copy")
+    alone = left.join(right.select(key).distinct(), key, "left_anti")
+    return left.join(right, key).unionByName(alone, allowMissingColumns=True)
 
 
 def left_join_sparse(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

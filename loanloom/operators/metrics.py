@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loanloom.functions.scalars import count_if
 
-BUCKETS = 65536
+ODDS_LIMIT, ODDS_STEPS = 40.0, 800
 CLASS_NAMES = {0: "Bad Borrower", 1: "Good Borrower"}
 
 
@@ -69,17 +69,26 @@ def classification_report(predictions: DataFrame, *by: str) -> DataFrame:
     return exploded.select(*by, "row.*")
 
 
+def _odds_bucket(p: Column) -> Column:
+    """A step of the log odds that never falls as p rises; the ends of [0, 1] are the outermost steps."""
+    odds = F.when(p <= 0, -ODDS_LIMIT).when(p >= 1, ODDS_LIMIT).otherwise(F.log(p / (1.0 - p)))
+    return F.floor(F.greatest(F.least(odds, F.lit(ODDS_LIMIT)), F.lit(-ODDS_LIMIT)) * ODDS_STEPS)
+
+
 def roc_auc(predictions: DataFrame, *by: str) -> DataFrame:
     """Area under the ROC curve, ties counted half.
 
-    A rank over all rows would sort them in one task. Rows shrink to one per distinct probability,
-    and the negatives below a probability are those of the lower buckets of [0, 1] (a table of at
-    most 65,537 rows per slice) plus those below it inside its own bucket.
+    Rows without a probability or target are left out on both sides. A rank over all rows would sort
+    them in one task. Rows shrink to one per distinct probability, and the negatives below a probability
+    are those of the lower buckets plus those below it inside its own bucket. Buckets are equal steps of
+    the log odds, so a model that puts nearly all rows close to 0 or 1 still spreads over many of them;
+    there are at most 2 * ODDS_LIMIT * ODDS_STEPS + 1 per slice.
     """
+    known = predictions.where(F.col("probability").isNotNull() & F.col("target").isNotNull())
     per_score = (
-        predictions.groupBy(*by, "probability")
+        known.groupBy(*by, "probability")
         .agg(count_if(F.col("target") == 1).alias("_pos"), count_if(F.col("target") == 0).alias("_neg"))
-        .withColumn("_bucket", F.floor(F.col("probability") * BUCKETS))
+        .withColumn("_bucket", _odds_bucket(F.col("probability")))
     )
     keys = list(by)
     lower = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,10 +28,6 @@ user_id age akb_score akb_grade loans_paid_count total_loans successful_payments
 payment_success_rate total_overdue_interest ml_probability decision decision_type created_at
 """.split()
 EXPORT_COLUMNS = "user_id date_of_birth age akb_score akb_grade decision decision_type ml_score".split()
-RECORD_COLUMNS = """
-name surname date_of_birth residency age akb_score akb_letter_grade decision decision_type ml_score
-user_id submitted_at
-""".split()
 ALREADY_EXISTS = "You already have an account! Your User ID is below."
 SCORE_WITHOUT_MODEL = 55
 
@@ -120,7 +116,7 @@ def _blank_duplicates(decided: DataFrame, given: list[str]) -> DataFrame:
     return decided.withColumns({c: F.when(~F.col("already_exists"), F.col(c)) for c in added})
 
 
-def decide_stateless(applications: DataFrame, as_of, apply_income_cap: bool = True) -> DataFrame:
+def decide_stateless(applications: DataFrame, as_of, apply_income_cap: bool = False) -> DataFrame:
     """Rules, scorecard, reasons and offer: needs no other table, so it also runs on a stream."""
     decided = scorecard_decisions(applications, as_of)
     income = F.col("monthly_income") if apply_income_cap else None
@@ -133,7 +129,7 @@ def decide_stateless(applications: DataFrame, as_of, apply_income_cap: bool = Tr
 
 
 def decide_applications(
-    applications: DataFrame, submissions: DataFrame, as_of, apply_income_cap: bool = True
+    applications: DataFrame, submissions: DataFrame, as_of, apply_income_cap: bool = False
 ) -> DataFrame:
     """New applications end to end. Duplicates of an earlier submission carry its id and no decision.
 
@@ -234,8 +230,11 @@ def score_all(features: DataFrame, probabilities: DataFrame | None, as_of, varia
 
     `batch` takes freshly built features; `feature_table` the stored table, where no age is known
     and a missing bureau score goes on to the model. Features that went through `model.predict`
-    already hold the probability and need no join: pass None.
+    already hold the probability and need no join: pass None. With a model, a customer that no rule
+    rejects and that has no prediction gets no decision (NULL, type NOT_SCORED); without any model such
+    a customer is approved by the rules.
     """
+    modelled = probabilities is not None or "prediction" in features.columns
     scored = _with_probability(features, probabilities)
     score = F.col("akb_score")
     if variant == "batch":
@@ -249,8 +248,9 @@ def score_all(features: DataFrame, probabilities: DataFrame | None, as_of, varia
         raise ValueError(f"unknown variant {variant!r}")
     return scored.withColumns({
         "ml_probability": F.when(by_rule.isNull(), fn.scaled_half_even(F.col("probability") * 100, 1)),
-        "decision": F.coalesce(by_rule, rules.class_decision(F.col("prediction")), F.lit(rules.APPROVED)),
+        "decision": F.coalesce(
+            by_rule, rules.class_decision(F.col("prediction")), F.lit(None if modelled else rules.APPROVED)),
         "decision_type": F.when(by_rule.isNull() & F.col("prediction").isNotNull(), rules.BY_MODEL)
-        .otherwise(rules.BY_RULES),
+        .when(by_rule.isNull() & F.lit(modelled), rules.NOT_SCORED).otherwise(rules.BY_RULES),
         "created_at": fn.as_timestamp(as_of),
     }).select(*columns)

@@ -94,9 +94,14 @@ def _people(tables: CreditTables) -> DataFrame:
 
 
 def _with_questionnaire(per_user: DataFrame, tables: CreditTables) -> DataFrame:
-    """Joined last: it is the only join that can repeat a user, and nothing is joined by user after it."""
+    """Joined last: it is the only join that can repeat a user, and nothing is joined by user after it.
+
+    Only the ids meet the questionnaires in the fan-out join, which reads its left side twice; the parts
+    follow in one inner join, of which adaptive execution can split either side.
+    """
     answers = tables.questionnaires.select("user_id", *QUESTIONNAIRE_COLUMNS)
-    return fan_out_left_join(per_user, answers, "user_id")
+    repeated = fan_out_left_join(_people(tables).select("user_id"), answers, "user_id")
+    return repeated.join(per_user, "user_id").select(*per_user.columns, *QUESTIONNAIRE_COLUMNS)
 
 
 def _one_questionnaire(tables: CreditTables) -> DataFrame:

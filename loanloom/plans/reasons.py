@@ -25,7 +25,7 @@ def _whole(value: Column) -> Column:
 
 def application_reasons(age: Column, akb_score: Column) -> list[Column]:
     score = akb_score.cast("double")
-    shown = number_text(score)
+    shown = score.cast("string")
     years = age.cast("string")
     return [
         F.when(age < 18, _say(RED, "Age ", years, " is below the minimum requirement of 18"))

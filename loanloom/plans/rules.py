@@ -15,6 +15,7 @@ NO_SCORE = "REJECTED — AKB Score is empty"
 LOW_SCORE = "REJECTED — AKB Score too low"
 HIGH_RISK = "REJECTED — High credit risk"
 BY_RULES = "Hard Rules"
+NOT_SCORED = "No prediction"
 BY_MODEL = "XGBoost ML Model"
 MIN_AGE = 18
 MIN_SCORE = 300

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_CHOSEN: dict[str, str] = {}
 
 
 def local_session(app_name: str = "loanloom", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -32,17 +31,16 @@ def local_session(app_name: str = "loanloom", cpus: str | int = "*", **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, or a temporary one in local mode only."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    """Folder every executor can reach: `spark.checkpoint.dir`, else the one given to `use_folder`."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _CHOSEN.get(spark.sparkContext.applicationId)
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-    app = context.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="loanloom-")
-    return _LOCAL_FOLDERS[app]
+    return folder.rstrip("/")
+
+
+def use_folder(spark: SparkSession, folder: str) -> None:
+    """The shared folder of a session that was started without `spark.checkpoint.dir`."""
+    _CHOSEN[spark.sparkContext.applicationId] = folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,12 +29,22 @@ def with_canonical_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: canonical_name(c) for c in df.columns})
 
 
-def lenient_timestamp(value: Column) -> Column:
-    return value.try_cast("timestamp_ntz")
+#: Forms of dates that are tried in order after ISO; of two readings the month comes first.
+DATE_FORMS = (
+    "M/d/yyyy[ H:m[:s]]", "d/M/yyyy[ H:m[:s]]", "M.d.yyyy[ H:m[:s]]", "d.M.yyyy[ H:m[:s]]", "M-d-yyyy[ H:m[:s]]",
+    "d-M-yyyy[ H:m[:s]]", "yyyy/M/d[ H:m[:s]]", "MMM d[,] yyyy", "d MMM yyyy", "MMMM d[,] yyyy", "d MMMM yyyy",
+)
 
 
-def lenient_date(value: Column) -> Column:
-    return value.try_cast("timestamp_ntz").cast("date")
+def lenient_timestamp(value: Column, forms: Sequence[str] = DATE_FORMS) -> Column:
+    """The first form that fits, else NULL."""
+    text = F.trim(value.cast("string"))
+    tries = [F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz") for form in forms]
+    return F.coalesce(value.try_cast("timestamp_ntz"), *tries)
+
+
+def lenient_date(value: Column, forms: Sequence[str] = DATE_FORMS) -> Column:
+    return lenient_timestamp(value, forms).cast("date")
 
 
 def lenient_number(value: Column, type_: str = "decimal(15,2)") -> Column:

@@ -18,13 +18,6 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
     return reader.format(fmt).load(path)
 
 
-def read_tables(
-    spark: SparkSession, folder: str, schemas: Mapping[str, StructType | None], fmt: str = "parquet"
-) -> dict[str, DataFrame]:
-    """Several tables kept side by side as `<folder>/<table>.<fmt>`."""
-    return {name: read_table(spark, f"{folder}/{name}.{fmt}", schema, fmt) for name, schema in schemas.items()}
-
-
 def read_workbook(spark: SparkSession, folder: str, workbook: str, fmt: str = "csv") -> dict[str, DataFrame]:
     """Every sheet of one source, kept as `<folder>/<workbook>/<sheet>.<fmt>`, by the table it feeds. All text."""
     return {

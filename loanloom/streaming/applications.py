@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loanloom.functions.scalars import as_timestamp, event_time, wall_clock
@@ -43,17 +43,30 @@ def decisions(applications: DataFrame, features: DataFrame | None, as_of) -> Dat
 
 
 def first_applications(submissions: DataFrame, horizon: str = "24 hours") -> DataFrame:
-    """One submission per identity (in any case) within the horizon; state is dropped after it."""
-    keyed = with_event_time(submissions).withColumns({"name": F.lower("name"), "surname": F.lower("surname")})
-    return keyed.withWatermark("submitted_at", horizon).dropDuplicatesWithinWatermark(list(IDENTITY))
+    """One submission per identity (in any case) within the horizon; state is dropped after it.
+
+    An identity with a NULL part equals no other, so such rows all stay. Names are left as written.
+    """
+    timed = with_event_time(submissions)
+    unknown = F.concat(F.lit("\u0000"), F.xxhash64(*submissions.columns).cast("string"))
+    who = F.concat_ws("\u0001", F.lower("name"), F.lower("surname"), F.col("date_of_birth").cast("string"))
+    keyed = timed.withColumn("_who", F.when(_identified(), who).otherwise(unknown))
+    return keyed.withWatermark("submitted_at", horizon).dropDuplicatesWithinWatermark(["_who"]).drop("_who")
+
+
+def _identified() -> Column:
+    return F.col("name").isNotNull() & F.col("surname").isNotNull() & F.col("date_of_birth").isNotNull()
 
 
 def hourly_velocity(submissions: DataFrame, late: str = "1 hour") -> DataFrame:
     """Submissions and score range per identity in 24-hour windows that start every hour.
 
+    Rows whose identity has a NULL part belong to nobody and are left out.
+
     Partial aggregates combine before the shuffle, so a busy identity costs one row per window and task.
     """
-    keyed = with_event_time(submissions).withColumns({"name": F.lower("name"), "surname": F.lower("surname")})
+    known = with_event_time(submissions).where(_identified())
+    keyed = known.withColumns({"name": F.lower("name"), "surname": F.lower("surname")})
     span = F.window("submitted_at", "24 hours", "1 hour")
     counted = keyed.withWatermark("submitted_at", late).groupBy(span, *IDENTITY).agg(
         F.count("*").alias("recent_count"), F.min("akb_score").alias("recent_low"), F.max("akb_score").alias("recent_high"))

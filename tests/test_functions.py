@@ -74,3 +74,16 @@ def test_generated_id_is_stable(make):
     df = make("id string, a string, b string", ("7", "x", "y"), (None, "x", "y"), (None, "x", None))
     first, second, third = values(df.select(fn.applicant_id(F.col("id"), F.col("a"), F.col("b")).alias("out")))
     assert first == "7" and second != third and len(second) == 32
+
+
+def test_dates_in_several_forms(make):
+    from loanloom.sources.ingest import lenient_date
+
+    texts = ["1990-03-15", "15/03/1990", "15.03.1990", "Mar 15 1990", "15 March 1990", "3/15/1990", "1990/3/15", "soon", None]
+    got = [r[0] and r[0].isoformat() for r in make("v string", *[(t,) for t in texts]).select(lenient_date(F.col("v"))).collect()]
+    assert got == ["1990-03-15"] * 7 + [None, None]
+
+
+def test_more_decimals_than_fit_are_refused():
+    with pytest.raises(ValueError):
+        fn.half_even(F.lit(1.0), 4)

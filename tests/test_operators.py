@@ -73,12 +73,11 @@ def test_latest_breaks_ties_by_id_and_puts_missing_times_first(make):
 # --- joins -----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("rows_per_slice", [10, 1_000_000])
-def test_fan_out_join_is_exact_with_a_heavy_key(make, rows_per_slice):
+def test_fan_out_join_is_exact_with_a_heavy_key(make):
     left = make("user_id string, x int", *[(f"u{i}", i) for i in range(20)])
     copies = [("u3", 7)] * 45 + [("u5", 1), ("u5", 1), ("u6", None)]
     right = make("user_id string, q int", *[("u3", i) for i in range(137)], *copies, ("other", 2), (None, 3))
-    got = rows(joins.fan_out_left_join(left, right, "user_id", rows_per_slice).select("user_id", "x", F.coalesce("q", F.lit(-1))))
+    got = rows(joins.fan_out_left_join(left, right, "user_id").select("user_id", "x", F.coalesce("q", F.lit(-1))))
     assert got == rows(left.join(right, "user_id", "left").select("user_id", "x", F.coalesce("q", F.lit(-1))))
 
 
@@ -221,3 +220,31 @@ def test_reports_are_ordered(make):
     assert [r.total for r in reports.daily_submissions(df, "2024-01-15 00:00:00").collect()] == [1, 1, 1]
     stats = reports.overall_stats(df).first()
     assert (stats.total, stats.approved, stats.rejected, stats.avg_akb, stats.avg_age) == (4, 1, 3, 513.3, 30.0)
+
+
+# --- findings of the review ------------------------------------------------------------------
+
+
+def test_fan_out_join_starts_no_job_and_splits_a_heavy_key(spark):
+    left = spark.range(2000).selectExpr("concat('u', id) AS user_id", "id AS x")
+    heavy = spark.range(4000).selectExpr("IF(id % 2 = 0, 'u7', concat('u', id)) AS user_id", "id AS q")
+    tracker, group = spark.sparkContext.statusTracker(), "fan-out-plan"
+    spark.sparkContext.setJobGroup(group, "building only")
+    joined = joins.fan_out_left_join(left, heavy, "user_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert tracker.getJobIdsForGroup(group) == [] or len(tracker.getJobIdsForGroup(group)) == 0
+    spark.sparkContext.setJobGroup("", "")
+    assert "LeftOuter" not in plan and "LeftAnti" in plan
+    assert joined.count() == left.join(heavy, "user_id", "left").count()
+
+
+def test_auc_leaves_out_unknown_probabilities_and_keeps_ties(make):
+    from loanloom.operators import metrics
+
+    scored = [(0.9995 + i * 1e-7, i % 3 == 0) for i in range(300)] + [(0.99951, True), (0.99951, False), (0.0, False), (1.0, True)]
+    rows_ = [(p, int(t)) for p, t in scored] + [(None, 1), (None, 0), (0.5, None)]
+    got = metrics.roc_auc(make("probability double, target int", *rows_)).first().roc_auc
+    wins = [(a > b) + (a == b) / 2 for a, x in scored if x for b, y in scored if not y]
+    assert got == pytest.approx(sum(wins) / len(wins))
+    few = make("probability double, target int", (0.9, 1), (0.1, 0), (None, 1), (None, 0))
+    assert metrics.roc_auc(few).first().roc_auc == 1.0

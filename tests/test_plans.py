@@ -177,12 +177,12 @@ def test_duplicate_application_gets_no_decision(make):
     assert (ann.already_exists, ann.existing_user_id, ann.decision, ann.ml_score, ann.reasons, ann.fraud_flags) == (True, "4", None, None, None, None)
     assert (bob.already_exists, bob.decision, bob.decision_type, bob.ml_score) == (
         False, "APPROVED", rules.BY_MODEL, points(33, 700.0, 1000.0, 0.0, 0.0, 0.0, False))
-    assert bob.loan_recommendation.max_amount == 3000  # capped at three incomes
+    assert bob.loan_recommendation.max_amount == 11000
     checked = {r.name: r for r in decisions.precheck(make(schema, new("ANN"), new("Bob")), NOW, stored).collect()}
     assert (checked["ANN"].existing_user_id, checked["ANN"].decision) == ("4", None)
     assert (checked["Bob"].hard_rejected, checked["Bob"].decision) == (False, rules.PASSED)
-    free = decisions.decide_applications(make(schema, new("Bob")), stored, NOW, apply_income_cap=False).first()
-    assert free.loan_recommendation.max_amount == 11000
+    free = decisions.decide_applications(make(schema, new("Bob")), stored, NOW, apply_income_cap=True).first()
+    assert free.loan_recommendation.max_amount == 3000  # capped at three incomes
     record = decisions.submission_record(decisions.decide_stateless(make(schema, new("Bob")), NOW)).first()
     assert record.residency == "N/A" and record.submitted_at == "2024-01-30 00:00:00" and len(record.user_id) == 32
 
