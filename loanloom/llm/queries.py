@@ -39,17 +39,17 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 _OP2 = """
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-starts AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
-           FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS p FROM t)),
+blocks AS (SELECT doc_id, k, substr(h, 2000 * k + 1, 2098) AS b FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS k FROM t)),
+bytes AS (SELECT doc_id, 1000 * k + o AS p, substr(b, 2 * o + 1, 2) AS x, substr(b, 2 * o + 1, 100) AS s
+          FROM (SELECT *, unnest(range(0, least(1000, len(b) // 2))) AS o FROM blocks)),
+starts AS (SELECT doc_id, p, s FROM bytes WHERE len(s) = 100),
 firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s),
 gone AS (SELECT doc_id, p FROM starts JOIN firsts USING (s) WHERE doc_id > first),
-bytes AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS p FROM t),
-marked AS (SELECT b.doc_id, b.p, max(g.p) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
+marked AS (SELECT b.doc_id, b.p, b.x, max(g.p) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
            IS NOT NULL AS removed FROM bytes b LEFT JOIN gone g USING (doc_id, p)),
 edges AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM marked),
 counted AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed, count(*) FILTER (opens) AS n_spans FROM edges GROUP BY doc_id),
-kept AS (SELECT m.doc_id, string_agg(substr(t.h, 2 * m.p + 1, 2), '' ORDER BY m.p) AS h
-         FROM marked m JOIN t USING (doc_id) WHERE NOT removed GROUP BY m.doc_id)
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS h FROM marked WHERE NOT removed GROUP BY doc_id)
 SELECT t.doc_id, len(t.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
        sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
 FROM t LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)
