@@ -5,13 +5,15 @@ strings of `length` bytes share an aligned anchor: the window of `length` - v +
 Hashing windows at positions in D alone therefore finds every match. Around shared anchors each place where a
 string of the full length may start is then tested by 64-bit hashes, and owners with a smaller doc_id win.
 
-Four reads of the chunks (lookups.py), the exchange of texts being shared by them:
+Five reads of the chunks (lookups.py), the exchange of texts being shared by them:
 1. anchors of texts that copy no earlier document -> which anchors occur in several chunks;
 2. around shared anchors, long windows (`length` + v - 1 bytes) at cover positions, with the smallest id of the
    chunk -> which have a smaller id elsewhere; every string inside such a window is settled;
-3. the single strings not settled, at the ends of matches and in the first owners -> the same question. A settled
-   string need not be sent even as an owner, since the document with its smallest id never settles it;
-4. the bytes to remove.
+3. the single strings not settled, at the ends of matches and in the first owners, by short hashes -> which other
+   chunks have them at all. Most do not: the inner strings of a first owner were settled by all who copy them. A
+   settled string need not be sent even as an owner, since the document with its smallest id never settles it;
+4. full hashes and smallest ids of those that other chunks seem to have -> which have a smaller id elsewhere;
+5. the bytes to remove.
 Whole copies are settled before by a salted grouping of digests. Two different strings meet under one 64-bit
 hash with a chance of one in 2^64 per pair; nothing else is approximate.
 
@@ -67,13 +69,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = loo
     shared = first.groupBy("bucket").applyInArrow(lookups.answer_elsewhere, lookups.MESSAGE)
     second = chunks.cogroup(shared.groupBy("chunk")).applyInArrow(lambda l, r: search.ask_long(l, r), lookups.MESSAGE)
     owned = second.groupBy("bucket").applyInArrow(lookups.answer_smaller, lookups.MESSAGE)
-    third = chunks.cogroup(owned.groupBy("chunk")).applyInArrow(lambda l, r: search.ask_strings(l, r), lookups.MESSAGE)
-    owned = third.groupBy("bucket").applyInArrow(lookups.answer_smaller, lookups.MESSAGE)
+    third = chunks.cogroup(owned.groupBy("chunk")).applyInArrow(lambda l, r: search.ask_rest(l, r), lookups.MESSAGE)
+    shared = third.groupBy("bucket").applyInArrow(lookups.answer_elsewhere, lookups.MESSAGE)
+    fourth = chunks.cogroup(shared.groupBy("chunk")).applyInArrow(lambda l, r: search.ask_strings(l, r), lookups.MESSAGE)
+    owned = fourth.groupBy("bucket").applyInArrow(lookups.answer_smaller, lookups.MESSAGE)
     return chunks.cogroup(owned.groupBy("chunk")).applyInArrow(lambda l, r: search.remove(l, r), RESULT)
 
 
 class Search:
-    """The four passes over a chunk."""
+    """The five passes over a chunk."""
 
     def __init__(self, length: int, layout: Layout):
         self.length, self.period = length, period_for(length)
@@ -82,6 +86,7 @@ class Search:
         density = len(COVERS[self.period]) / self.period
         # A chance meeting opens as many strings as the period is long, so it must be rare.
         self.bits = layout.filter_bits(density, spare=13)
+        self.rest_bits = layout.filter_bits(density)
         self.anchor_buckets, self.string_buckets = layout.buckets(density), layout.buckets(0.1)
 
     def _anchors(self, chunk: Chunk, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +139,7 @@ class Search:
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
         return distinct, ids[first], which, ids
 
-    def ask_strings(self, left: pa.Table, right: pa.Table) -> pa.Table:
+    def ask_rest(self, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunk_of(left)
         smaller, carried = replies_of(right)
         copied, maybe = map(unpack_bits, _split(carried))
@@ -143,9 +148,22 @@ class Search:
         long = at[smaller[which] | (ids > owners[which])]
         settled = covered(long, long + self.period, len(maybe))
         rest = maybe & ~settled
-        distinct, owners, _, _ = self._strings(chunk, np.flatnonzero(rest), self.length)
+        short = byte_runs(chunk.texts.data, self.length, np.flatnonzero(rest)) >> np.uint64(64 - self.rest_bits)
+        carry = _join(pack_bits(copied), pack_bits(settled), pack_bits(rest))
+        return ask(chunk.number, np.unique(short), self.rest_bits, self.anchor_buckets, carry=carry)
+
+    def ask_strings(self, left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = chunk_of(left)
+        elsewhere, carried = replies_of(right)
+        copied, settled, rest = map(unpack_bits, _split(carried))
+        at = np.flatnonzero(rest)
+        distinct, owners, which, ids = self._strings(chunk, at, self.length)
+        _, short = np.unique(distinct >> np.uint64(64 - self.rest_bits), return_inverse=True)
+        asked, here = elsewhere[short], ids > owners[which]
+        settled[at[here]] = True
+        rest[at[here | ~asked[which]]] = False
         carry = _join(pack_bits(copied), pack_bits(settled), pack_bits(rest))
-        return ask(chunk.number, distinct, 64, self.string_buckets, owners, carry)
+        return ask(chunk.number, distinct[asked], 64, self.string_buckets, owners[asked], carry)
 
     def remove(self, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunk_of(left)
