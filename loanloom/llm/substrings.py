@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.llm import lookups
-from loanloom.llm.bytestext import byte_runs, covered, id_column, pack_bits, unpack_bits
+from loanloom.llm.bytestext import byte_runs, covered, distinct, grouped, id_column, pack_bits, unpack_bits
 from loanloom.llm.lookups import Chunk, Layout, ask, chunk_of, replies_of
 from loanloom.llm.salted import combine, per_salt, salt_of
 
@@ -102,15 +102,15 @@ class Search:
         chunk = chunk_of(left)
         copied = np.isin(chunk.keys, right["key"].to_numpy()) if right.num_rows else np.zeros(len(chunk.ids), bool)
         _, keys, _ = self._anchors(chunk, copied)
-        return ask(chunk.number, np.unique(keys), self.bits, self.anchor_buckets, carry=pack_bits(copied))
+        return ask(chunk.number, distinct(keys), self.bits, self.anchor_buckets, carry=pack_bits(copied))
 
     def ask_long(self, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunk_of(left)
         elsewhere, carried = replies_of(right)
         copied = unpack_bits(carried)
         at, keys, doc = self._anchors(chunk, copied)
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        # np.unique gives the first position of a key, hence its first document.
+        # The first place of a key is in its first document.
+        _, first, which = grouped(keys)
         several = np.zeros(len(first), bool)
         several[which[doc != doc[first][which]]] = True
         hit = (elsewhere | several)[which]
@@ -119,8 +119,8 @@ class Search:
         high = np.minimum(at[hit] + 1, texts.starts[doc[hit] + 1] - self.length + 1)
         fits = low < high
         maybe = covered(low[fits], high[fits], len(texts.data))
-        distinct, owners, _, _ = self._strings(chunk, self._long_starts(chunk, maybe), self.long)
-        return ask(chunk.number, distinct, 64, self.string_buckets, owners, _join(pack_bits(copied), pack_bits(maybe)))
+        strings, owners, _, _ = self._strings(chunk, self._long_starts(chunk, maybe), self.long)
+        return ask(chunk.number, strings, 64, self.string_buckets, owners, _join(pack_bits(copied), pack_bits(maybe)))
 
     def _long_starts(self, chunk: Chunk, maybe: np.ndarray) -> np.ndarray:
         """Cover positions where all the strings of a long window may be shared."""
@@ -136,8 +136,8 @@ class Search:
         keys = byte_runs(chunk.texts.data, length, at)
         ids = chunk.ids[np.searchsorted(chunk.texts.starts, at, side="right") - 1]
         # Documents stand in order of id, so the first place of a string has its smallest id.
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        return distinct, ids[first], which, ids
+        strings, first, which = grouped(keys)
+        return strings, ids[first], which, ids
 
     def ask_rest(self, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunk_of(left)
@@ -150,20 +150,22 @@ class Search:
         rest = maybe & ~settled
         short = byte_runs(chunk.texts.data, self.length, np.flatnonzero(rest)) >> np.uint64(64 - self.rest_bits)
         carry = _join(pack_bits(copied), pack_bits(settled), pack_bits(rest))
-        return ask(chunk.number, np.unique(short), self.rest_bits, self.anchor_buckets, carry=carry)
+        return ask(chunk.number, distinct(short), self.rest_bits, self.anchor_buckets, carry=carry)
 
     def ask_strings(self, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunk_of(left)
         elsewhere, carried = replies_of(right)
         copied, settled, rest = map(unpack_bits, _split(carried))
         at = np.flatnonzero(rest)
-        distinct, owners, which, ids = self._strings(chunk, at, self.length)
-        _, short = np.unique(distinct >> np.uint64(64 - self.rest_bits), return_inverse=True)
+        strings, owners, which, ids = self._strings(chunk, at, self.length)
+        # Ascending like the strings, so a short hash is new where it differs from the one before.
+        short = strings >> np.uint64(64 - self.rest_bits)
+        short = np.cumsum(np.diff(short, prepend=short[:1]) != 0)
         asked, here = elsewhere[short], ids > owners[which]
         settled[at[here]] = True
         rest[at[here | ~asked[which]]] = False
         carry = _join(pack_bits(copied), pack_bits(settled), pack_bits(rest))
-        return ask(chunk.number, distinct[asked], 64, self.string_buckets, owners[asked], carry)
+        return ask(chunk.number, strings[asked], 64, self.string_buckets, owners[asked], carry)
 
     def remove(self, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunk_of(left)

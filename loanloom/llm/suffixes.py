@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loanloom.llm import lookups
-from loanloom.llm.bytestext import covered, id_column, pack_bits, runs, unpack_bits, word_hashes, words_of
+from loanloom.llm.bytestext import covered, distinct, id_column, pack_bits, runs, unpack_bits, word_hashes, words_of
 from loanloom.llm.lookups import ask, chunk_of, replies_of
 
 DEPTH = 35
@@ -75,7 +75,7 @@ class RadixSort:
     def first_digit(self, table: pa.Table) -> pa.Table:
         chunk = chunk_of(table)
         hashes, _, _, _, alive = self._words(chunk)
-        keys = np.unique(self._keys(hashes, alive, 0))
+        keys = distinct(self._keys(hashes, alive, 0))
         return ask(chunk.number, keys, self.bits[0], self.buckets[0], carry=_carry(0, alive))
 
     def _resolve(self, right: pa.Table, hashes: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ class RadixSort:
         chunk = chunk_of(left)
         hashes, *_ = self._words(chunk)
         alive = self._resolve(right, hashes)
-        keys = np.unique(self._keys(hashes, alive, digit))
+        keys = distinct(self._keys(hashes, alive, digit))
         return ask(chunk.number, keys, self.bits[digit], self.buckets[digit], carry=_carry(digit, alive))
 
     def remove(self, left: pa.Table, right: pa.Table) -> pa.Table:

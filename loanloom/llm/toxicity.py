@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.bytestext import plain_letters, texts_of, word_hashes, words_of
+from loanloom.llm.bytestext import distinct, plain_letters, texts_of, word_hashes, words_of
 
 PLACES = 2**20
 SAMPLE = 6000
@@ -45,7 +45,7 @@ def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = plain_letters(texts_of(column))
     first, last, doc = words_of(texts)
     places = word_hashes(texts.data, first, last) & np.uint64(PLACES - 1)
-    pairs = np.unique((doc.astype(np.uint64) << np.uint64(20)) | places)
+    pairs = distinct((doc.astype(np.uint64) << np.uint64(20)) | places)
     return (pairs >> np.uint64(20)).astype(np.int64), (pairs & np.uint64(PLACES - 1)).astype(np.int64)
 
 
