@@ -285,3 +285,44 @@ def d19_decide_applications(t):
     return decided.select(
         "application_id", "already_exists", "existing_user_id", "age", "decision", "ml_score",
         reasons_text().alias("reasons"), F.array_join("fraud_flags", " | ").alias("fraud_flags"), *offer_columns())
+
+
+PARTS["new_answers"] = f"""
+    SELECT n.application_id, 'new' AS customer_type, already_exists, CAST(existing_id AS VARCHAR) AS existing_user_id,
+      CAST(NULL AS VARCHAR) AS decision_error, {_fresh('years')} AS age, {_fresh('decision')} AS decision,
+      {_fresh('decision_type')} AS decision_type, {r6(_fresh('ml_score'), 'ml_score')}, {_fresh('reasons')} AS reasons, {OFFER},
+      CASE WHEN NOT already_exists THEN '' END AS fraud_flags,
+      name IS NOT NULL AND surname IS NOT NULL AND date_of_birth IS NOT NULL AS identified
+    FROM new_decided n JOIN new_offers ON offer_id = n.application_id WHERE n.customer_type = 'new'"""
+PARTS["existing_answers"] = f"""
+    SELECT application_id, 'existing' AS customer_type, FALSE AS already_exists, CAST(NULL AS VARCHAR) AS existing_user_id,
+      decision_error, CASE WHEN decision_error IS NULL THEN years END AS age,
+      CASE WHEN decision_error IS NULL THEN decision END AS decision,
+      CASE WHEN decision_error IS NULL THEN decision_type END AS decision_type,
+      {r6('CASE WHEN decision_error IS NULL THEN ml_score END', 'ml_score')},
+      CASE WHEN decision_error IS NULL THEN {reasons_sql('years', 'app_score', 'ml_score', features=True)} END AS reasons,
+      {OFFER}, '' AS fraud_flags, FALSE AS identified
+    FROM existing_decided JOIN existing_offers ON offer_id = application_id"""
+PARTS["answers"] = "SELECT * FROM new_answers UNION ALL SELECT * FROM existing_answers"
+BLANKED = "age decision decision_type ml_score reasons max_amount interest_rate term_months monthly_payment fraud_flags".split()
+SENT_AGAIN = 10_000_000
+
+
+# Every tenth application comes twice: the second of a new applicant whose identity is known is a duplicate.
+@check(f"""SELECT * EXCLUDE (identified) FROM answers UNION ALL
+           SELECT * EXCLUDE (identified) REPLACE (application_id + {SENT_AGAIN} AS application_id, already_exists OR identified AS already_exists,
+             CASE WHEN identified THEN coalesce(existing_user_id, CAST(application_id AS VARCHAR)) END AS existing_user_id,
+             {', '.join(f'CASE WHEN NOT identified THEN {c} END AS {c}' for c in BLANKED)})
+           FROM answers WHERE application_id % 10 = 0""")
+def submit_decided_by_type(t):
+    again = t.applications.where("application_id % 10 = 0").withColumns({
+        "application_id": F.col("application_id") + SENT_AGAIN, "submitted_at": F.expr("submitted_at + INTERVAL 1 MINUTE")})
+    sent = t.applications.unionByName(again)
+    asked = sent.where("customer_type = 'existing' AND user_id IS NOT NULL").select("user_id").distinct()
+    known = features.online_features(t.credit, AS_OF, user_ids=asked)
+    decided = decisions.decide_submissions(
+        sent, t.customer_submissions, t.users, t.questionnaires, known, t.predictions, AS_OF)
+    return decided.select(
+        "application_id", "customer_type", "already_exists", "existing_user_id", "decision_error", "age", "decision",
+        "decision_type", "ml_score", reasons_text().alias("reasons"), F.array_join("fraud_flags", " | ").alias("fraud_flags"),
+        *offer_columns())

@@ -89,6 +89,18 @@ def existing_applicants(applications: DataFrame, submissions: DataFrame) -> Data
     return applications.select("*", *identity_keys(applications)).join(first, keys, "left").drop(*keys)
 
 
+def earlier_in_batch(applications: DataFrame, key: str = "application_id") -> DataFrame:
+    """Applications with the key of the first one of the same person in this batch, NULL for the first itself.
+
+    First is the smallest time, then the smallest key. An identity with a NULL part equals no other.
+    """
+    keys = ["_name", "_surname", "_birth"]
+    keyed = applications.select("*", *identity_keys(applications))
+    first = keyed.dropna(subset=keys).groupBy(*keys).agg(F.min_by(key, F.struct("submitted_at", key)).alias("_first"))
+    earlier = F.when(F.col("_first") != F.col(key), F.col("_first")).alias("earlier_application")
+    return keyed.join(first, keys, "left").select(*applications.columns, earlier)
+
+
 def one_birth_date(questionnaires: DataFrame) -> DataFrame:
     """One birth date per user: that of the questionnaire with the smallest id."""
     return questionnaires.groupBy("user_id").agg(F.min_by("birth_date", "id").alias("stored_birth_date"))

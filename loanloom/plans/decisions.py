@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loanloom.functions import scalars as fn
 from loanloom.operators.joins import (
+    earlier_in_batch,
     existing_applicants,
     fan_out_left_join,
     left_join_sparse,
@@ -99,16 +100,23 @@ def offer_for(decision: Column, ml_score: Column, akb_score: Column, income: Col
     return F.when(decision == rules.APPROVED, loan_offer(score, akb_score, income))
 
 
-def mark_duplicates(applications: DataFrame, submissions: DataFrame) -> DataFrame:
-    """Adds already_exists, existing_user_id and message; a duplicate gets no decision."""
+def mark_duplicates(applications: DataFrame, submissions: DataFrame, key: str | None = None) -> DataFrame:
+    """Adds already_exists, existing_user_id and message; a duplicate gets no decision.
+
+    With `key`, the unique id of an application, one that follows another of the same person in this batch
+    is a duplicate too and gets the id of the first, unless a stored submission came before both.
+    """
     matched = existing_applicants(applications, submissions)
-    found = F.col("existing_id").isNotNull()
+    known = F.col("existing_id").cast("string")
+    if key is not None:
+        matched = earlier_in_batch(matched, key)
+        known = F.coalesce(known, F.col("earlier_application").cast("string"))
     return matched.select(
         "*",
-        found.alias("already_exists"),
-        F.col("existing_id").cast("string").alias("existing_user_id"),
-        F.when(found, ALREADY_EXISTS).alias("message"),
-    ).drop("existing_id")
+        known.isNotNull().alias("already_exists"),
+        known.alias("existing_user_id"),
+        F.when(known.isNotNull(), ALREADY_EXISTS).alias("message"),
+    ).drop("existing_id", "earlier_application")
 
 
 def _blank_duplicates(decided: DataFrame, given: list[str]) -> DataFrame:
@@ -129,17 +137,43 @@ def decide_stateless(applications: DataFrame, as_of, apply_income_cap: bool = Fa
 
 
 def decide_applications(
-    applications: DataFrame, submissions: DataFrame, as_of, apply_income_cap: bool = False
+    applications: DataFrame, submissions: DataFrame, as_of, apply_income_cap: bool = False, key: str | None = None
 ) -> DataFrame:
     """New applications end to end. Duplicates of an earlier submission carry its id and no decision.
 
-    All rows take one pass; what was decided is blanked for duplicates.
+    All rows take one pass; what was decided is blanked for duplicates. `key` finds duplicates in the batch
+    itself. Flags count an application along with the stored ones, as if it had just been stored.
     """
-    marked = mark_duplicates(applications, submissions)
-    decided = fraud_flags(decide_stateless(marked, as_of, apply_income_cap), submissions)
+    marked = mark_duplicates(applications, submissions, key)
+    counted = "name surname date_of_birth akb_score submitted_at".split()
+    history = submissions.select(*counted).unionByName(marked.where(~F.col("already_exists")).select(*counted))
+    decided = fraud_flags(decide_stateless(marked, as_of, apply_income_cap), history)
     return _blank_duplicates(decided, marked.columns)
 
 
+def decide_submissions(
+    applications: DataFrame,
+    submissions: DataFrame,
+    users: DataFrame,
+    questionnaires: DataFrame,
+    features: DataFrame,
+    probabilities: DataFrame | None,
+    as_of,
+    key: str = "application_id",
+) -> DataFrame:
+    """Every application by its customer_type: new ones by scorecard, all others as existing customers.
+
+    Only new applicants are searched for duplicates and flagged. A row without a decision (a duplicate, or one
+    with a decision_error) was not answered with one and is not to be stored.
+    """
+    is_new = F.coalesce(F.col("customer_type") == "new", F.lit(False))
+    fresh = decide_applications(applications.where(is_new), submissions, as_of, key=key)
+    known = decide_existing(applications.where(~is_new), users, questionnaires, features, probabilities, as_of)
+    unflagged = F.array().cast("array<string>")
+    return fresh.unionByName(
+        known.withColumns({"already_exists": F.lit(False), "fraud_flags": unflagged}), allowMissingColumns=True)
+
+
 def submission_record(decided: DataFrame) -> DataFrame:
     """The 12 columns stored for a decided application."""
     owner = F.col("generated_user_id") if "generated_user_id" in decided.columns else F.lit(None).cast("string")

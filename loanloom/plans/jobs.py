@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from loanloom.operators import reports
 from loanloom.plans import decisions, features, model
 from loanloom.plans.features import CreditTables
-from loanloom.sources.sinks import replace_table, write_split
+from loanloom.session import materialise
+from loanloom.sources.sinks import append_rows_to, replace_table, write_split
 
 
 def build_customer_features(tables: CreditTables, as_of, path: str, columns=None) -> DataFrame:
@@ -52,6 +53,24 @@ def export_all(tables: CreditTables, fitted: PipelineModel | None, as_of, path:
     return reports.run_summary(decided.sparkSession.read.parquet(path))
 
 
+def submit(
+    applications: DataFrame, tables: CreditTables, submissions: DataFrame, fitted: PipelineModel | None, as_of,
+    report_path: str, submissions_path: str, key: str = "application_id",
+) -> DataFrame:
+    """Decides a batch of applications, appends the answered ones to the split report and the new ones to the
+    stored submissions; returns the answers, decided once and written to the shared folder.
+    """
+    asked = applications.where("user_id IS NOT NULL AND NOT customer_type <=> 'new'").select("user_id").distinct()
+    known = features.online_features(tables, as_of, user_ids=asked)
+    scores = model.probabilities(known, fitted) if fitted is not None else None
+    answers = materialise(decisions.decide_submissions(
+        applications, submissions, tables.users, tables.questionnaires, known, scores, as_of, key))
+    answered = answers.where("decision IS NOT NULL")
+    write_split(decisions.submission_record(answered), report_path, mode="append")
+    append_rows_to(decisions.submission_record(answered.where(F.col("customer_type") == "new")), submissions_path)
+    return answers
+
+
 def analytics(submissions: DataFrame, as_of) -> dict[str, DataFrame]:
     """The dashboard's four reports."""
     return {

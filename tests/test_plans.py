@@ -187,6 +187,30 @@ def test_duplicate_application_gets_no_decision(make):
     assert record.residency == "N/A" and record.submitted_at == "2024-01-30 00:00:00" and len(record.user_id) == 32
 
 
+def test_submissions_are_routed_and_stored_once(spark, make, credit):
+    t = datetime(2024, 1, 30)
+    schema = ("application_id int, customer_type string, name string, surname string, date_of_birth string, residency string, "
+              "akb_score double, akb_letter_grade string, user_id string, monthly_income double, monthly_expenses double, "
+              "outstanding_debt double, overdue_amount double, has_overdue boolean, submitted_at timestamp_ntz")
+
+    def sent(i, kind, name, surname="Lee", user=None):
+        return (i, kind, name, surname, "15/03/1990", "", 700.0, "C", user, 1000.0, 0.0, 0.0, 0.0, False, t + timedelta(minutes=i))
+
+    batch = make(schema, sent(1, "new", "Bob"), sent(2, "new", "BOB"), sent(3, "new", "Ann"), sent(4, "new", "Eve", None),
+                 sent(5, "new", "Eve", None), sent(6, "existing", "Bob", user="3"), sent(7, "existing", "Bob"))
+    stored = make("id int, name string, surname string, date_of_birth string, akb_score double, submitted_at timestamp_ntz",
+                  (4, "ann", "lee", "15/03/1990", 500.0, t - timedelta(hours=1)))
+    path = fresh_path(spark, "submit")
+    answers = jobs.submit(batch, credit, stored, None, NOW, f"{path}/report", f"{path}/stored")
+    got = {r.application_id: r for r in answers.collect()}
+    assert {i: r.existing_user_id for i, r in got.items() if r.already_exists} == {2: "1", 3: "4"}
+    assert got[2].decision is None and got[1].recent_count == 1 and got[4].decision == got[5].decision == "APPROVED"
+    # Customer 3 has loans, so the type names the model, as in the source, though there is none here.
+    assert (got[6].decision, got[6].decision_type) == (rules.APPROVED, rules.BY_MODEL) and got[7].decision_error.startswith("User ID is required")
+    names = lambda folder: sorted(r.name for r in spark.read.parquet(f"{path}/{folder}").collect())
+    assert names("stored") == ["Bob", "Eve", "Eve"] and names("report") == ["Bob", "Bob", "Eve", "Eve"]
+
+
 def test_older_pass_label(make):
     df = make("date_of_birth string, akb_score double", ("15/03/1990", 700.0))
     assert decisions.apply_hard_rules(df, NOW, passed="APPROVED").first().hard_decision == "APPROVED"
