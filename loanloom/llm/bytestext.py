@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes hashed at a time, so that temporary arrays stay small however long a text is.
 BLOCK = 1 << 20
+#: Windows hashed at a time: the few arrays in use then fit the cache of a core.
+RUN_BLOCK = 1 << 14
 NO_ID = np.iinfo(np.int64).max
 
 _SPACE = np.zeros(256, bool)
@@ -64,14 +65,20 @@ def id_column(ids: np.ndarray) -> pa.Array:
 def mix(keys: np.ndarray) -> np.ndarray:
     """Spreads every input bit over all 64 bits."""
     keys = keys ^ (keys >> np.uint64(30))
-    keys = keys * np.uint64(0xBF58476D1CE4E5B9)
-    keys = keys ^ (keys >> np.uint64(27))
-    keys = keys * np.uint64(0x94D049BB133111EB)
-    return keys ^ (keys >> np.uint64(31))
+    keys *= np.uint64(0xBF58476D1CE4E5B9)
+    keys ^= keys >> np.uint64(27)
+    keys *= np.uint64(0x94D049BB133111EB)
+    keys ^= keys >> np.uint64(31)
+    return keys
 
 
 def runs(symbols: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` consecutive uint64 symbols, by doubling; shorter input gives no run."""
+    return mix(_sums(symbols, width))
+
+
+def _sums(symbols: np.ndarray, width: int) -> np.ndarray:
+    """The polynomial of each run, not mixed yet."""
     if len(symbols) < width:
         return np.zeros(0, np.uint64)
     power, have, done = symbols, 1, None
@@ -82,25 +89,26 @@ def runs(symbols: np.ndarray, width: int) -> np.ndarray:
                 done = power
             else:
                 n = len(power) - done_width
-                done = done[:n] * np.uint64(pow(_BASE, have, 2**64)) + power[done_width:done_width + n]
+                done = done[:n] * np.uint64(pow(_BASE, have, 2**64))
+                done += power[done_width:done_width + n]
             done_width += have
         rest >>= 1
         if rest:
             n = len(power) - have
-            power = power[:n] * np.uint64(pow(_BASE, have, 2**64)) + power[have:]
-            have *= 2
-    return mix(done[:len(symbols) - width + 1])
+            longer = power[:n] * np.uint64(pow(_BASE, have, 2**64))
+            longer += power[have:]
+            power, have = longer, have * 2
+    return done[:len(symbols) - width + 1]
 
 
 def byte_runs(data: np.ndarray, width: int, wanted: np.ndarray) -> np.ndarray:
     """Hashes of the `width` bytes from each ascending position in `wanted`."""
     out = np.empty(len(wanted), np.uint64)
-    cuts = np.searchsorted(wanted, np.arange(0, len(data) + BLOCK, BLOCK))
+    cuts = np.searchsorted(wanted, np.arange(0, len(data) + RUN_BLOCK, RUN_BLOCK))
     for block, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
         if lo < hi:
-            first = block * BLOCK
-            hashes = runs(_BYTE[data[first:first + BLOCK + width - 1]], width)
-            out[lo:hi] = hashes[wanted[lo:hi] - first]
+            base, end = int(wanted[lo]), int(wanted[hi - 1]) + width
+            out[lo:hi] = mix(_sums(_BYTE[data[base:end]], width)[wanted[lo:hi] - base])
     return out
 
 
@@ -192,31 +200,44 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64) + first
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(pa.py_buffer(values), asbytes=True) if values.size else b""
+
+
+def _expand(blob: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(blob, decompressed_size=size, asbytes=True) if size else b""
+
+
 def pack_planes(values: np.ndarray) -> bytes:
     """uint64 values as compressed byte planes, without the planes that are all zero."""
     values = np.ascontiguousarray(values, dtype="<u8")
     width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
     planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
-    return struct.pack("<IB", len(values), width) + zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return struct.pack("<IB", len(values), width) + _squeeze(np.ascontiguousarray(planes))
 
 
 def unpack_planes(blob: bytes) -> np.ndarray:
     n, width = struct.unpack_from("<IB", blob)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(zlib.decompress(blob[5:]), np.uint8).reshape(width, n).T
+    out[:, :width] = np.frombuffer(_expand(blob[5:], n * width), np.uint8).reshape(width, n).T
     return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
 
 def pack_bits(bits: np.ndarray) -> bytes:
-    return struct.pack("<I", len(bits)) + zlib.compress(np.packbits(bits).tobytes(), 1)
+    return struct.pack("<I", len(bits)) + _squeeze(np.packbits(bits))
 
 
 def unpack_bits(blob: bytes) -> np.ndarray:
     n, = struct.unpack_from("<I", blob)
-    return np.unpackbits(np.frombuffer(zlib.decompress(blob[4:]), np.uint8), count=n).astype(bool)
+    return np.unpackbits(np.frombuffer(_expand(blob[4:], (n + 7) // 8), np.uint8), count=n).astype(bool)
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """Which of `size` places lie in one of the half-open spans."""
-    steps = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
-    return np.cumsum(steps[:size]) > 0
+    """Which of `size` places lie in one of the half-open spans, which come by ascending start."""
+    inside = np.zeros(size + 1, np.int8)
+    if len(starts):
+        reach = np.maximum.accumulate(ends)
+        new = np.flatnonzero(starts[1:] > reach[:-1]) + 1
+        inside[starts[np.append(0, new)]] = 1
+        inside[reach[np.append(new - 1, len(reach) - 1)]] -= 1
+    return np.cumsum(inside[:size], dtype=np.int8).view(bool)

@@ -91,12 +91,14 @@ class Search:
 
     def _anchors(self, chunk: Chunk, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position, key and document of every anchor, position by position."""
-        texts = chunk.texts
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), texts.lengths)
-        within = np.arange(len(doc)) - texts.starts[doc]
-        usable = ~skip & (texts.lengths >= self.length)
-        at = np.flatnonzero(self.cover[within % self.period] & usable[doc] & (within + self.width <= texts.lengths[doc]))
-        return at, byte_runs(texts.data, self.width, at) >> np.uint64(64 - self.bits), doc[at]
+        texts, cover = chunk.texts, np.flatnonzero(self.cover)
+        places = np.where(~skip & (texts.lengths >= self.length), texts.lengths - self.width + 1, 0)
+        rounds, rest = np.divmod(places, self.period)
+        counts = rounds * len(cover) + np.searchsorted(cover, rest)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+        turn, member = np.divmod(np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts), len(cover))
+        at = np.repeat(texts.starts[:-1], counts) + turn * self.period + cover[member]
+        return at, byte_runs(texts.data, self.width, at) >> np.uint64(64 - self.bits), doc
 
     def ask_anchors(self, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunk_of(left)
@@ -128,8 +130,8 @@ class Search:
         at = at[at + self.long <= len(chunk.texts.data)]
         doc = np.searchsorted(chunk.texts.starts, at, side="right") - 1
         at = at[self.cover[(at - chunk.texts.starts[doc]) % self.period]]
-        whole = np.concatenate([[0], np.cumsum(maybe)])
-        return at[whole[at + self.period] - whole[at] == self.period]
+        ends = np.flatnonzero(maybe & ~np.append(maybe[1:], False)) + 1
+        return at[ends[np.searchsorted(ends, at, side="right")] - at >= self.period]
 
     def _strings(self, chunk: Chunk, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct strings and their smallest ids; for each place its string and its document's id."""

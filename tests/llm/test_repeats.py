@@ -31,7 +31,7 @@ def test_hashes_depend_on_the_bytes_alone(monkeypatch):
     assert [texts.data[a:b].tobytes() for a, b in zip(first, last)] == [b"abc", b"abc", b"xabc", b"abc"]
     assert hashes[0] == hashes[1] == hashes[3] != hashes[2] and doc.tolist() == [0, 0, 0, 3]
     data = np.frombuffer(b"0123456789" * 10, np.uint8)
-    monkeypatch.setattr("loanloom.llm.bytestext.BLOCK", 16)
+    monkeypatch.setattr("loanloom.llm.bytestext.RUN_BLOCK", 16)
     found = byte_runs(data, 7, np.arange(len(data) - 6))
     assert (found[:80] == found[10:90]).all() and len(set(found[:10].tolist())) == 10
     assert len(runs(hashes, 9)) == 0
