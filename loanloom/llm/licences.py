@@ -6,6 +6,9 @@ known sentence up to a line end or sentence end. The identifiers found in a text
 ordered rules; a rule may be interrupted by at most GAP_WORDS other words between two of its sentences. At a place
 the rule with the most sentences wins, and its sentences are used up.
 
+A reservation of all rights is found as `proprietary`, with or without a copyright line before it; after a copyright
+notice it may also stand in the same sentence. Before a licence text of several sentences it is part of that text.
+
 Each document is read once by its task, with no shuffle; the rules are a fixed small table.
 
 Defined results: null and empty texts have no finding; a licence that is found twice gives two rows; a rule whose
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP_WORDS = 12
+RESERVED = "All rights reserved."
 
 # Licence notices, sentence by sentence.
 RULES: list[tuple[str, tuple[str, ...]]] = [
@@ -81,16 +85,24 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     )),
 ]
+RULES += [(name, (RESERVED, *sentences)) for name, sentences in RULES if len(sentences) > 1]
+RULES.append(("proprietary", (RESERVED,)))
 FINDING = "doc_id bigint, licence string, start bigint, end bigint, sentences array<int>"
 
 _WORD = re.compile(r"[^\W_]+")
 _EDGE = re.compile(r"[.!?;:][\"')\]]*(?=\s|$)|\n")
+# A copyright notice from its line's start, up to COPYRIGHT_CHARS long, with no sentence end needed after it.
+COPYRIGHT_CHARS = 200
+_COPYRIGHT = re.compile(r"(?:^|\n)[\W_]*?(?:copyright(?![^\W_])|©|\(c\))[^\n]*$")
 
 
 def words(sentence: str) -> tuple[str, ...]:
     return tuple(_WORD.findall(sentence.lower()))
 
 
+_RESERVED = words(RESERVED)
+
+
 class Scanner:
     """Known sentences by identifier, and the rules over identifiers."""
 
@@ -114,9 +126,12 @@ class Scanner:
             lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         out, used = [], 0
         for hit in self.opening.finditer(lowered):
-            if hit.start() < used or not self._begins(lowered, hit.start()):
+            if hit.start() < used:
                 continue
+            begins = self._begins(lowered, hit.start())
             for sentence in self.by_opening[" ".join(_WORD.findall(hit.group()))]:
+                if not begins and not (sentence == _RESERVED and self._after_copyright(lowered, hit.start())):
+                    continue
                 end = self._match(lowered, hit.start(), sentence)
                 if end is not None:
                     out.append((hit.start(), end, self.identifiers[sentence]))
@@ -133,6 +148,10 @@ class Scanner:
             back -= 1
         return back < 0
 
+    def _after_copyright(self, text: str, at: int) -> bool:
+        """Does a copyright notice stand before this place in its line?"""
+        return _COPYRIGHT.search(text[max(0, at - COPYRIGHT_CHARS):at]) is not None
+
     def _match(self, text: str, at: int, sentence: tuple[str, ...]) -> int | None:
         for word in sentence:
             found = _WORD.search(text, at)

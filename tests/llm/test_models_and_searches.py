@@ -208,3 +208,25 @@ def test_longest_rule_wins(documents):
     bsd = {name: "\n".join(s) for name, s in licences.RULES if name.startswith("BSD")}
     rows = licences.licences(documents({1: bsd["BSD-3-Clause"], 2: bsd["BSD-2-Clause"]})).collect()
     assert {r.doc_id: r.licence for r in rows} == {1: "BSD-3-Clause", 2: "BSD-2-Clause"}
+
+
+def test_reserved_rights(documents):
+    bsd = next(s for name, s in licences.RULES if name == "BSD-2-Clause")
+    texts = {
+        1: "Some words.\nAll rights reserved.\nMore", 2: "Copyright (c) 2020 Acme\nAll Rights Reserved", 3: "© 2020 Acme, all rights reserved.",
+        4: "He said that all rights reserved.", 5: "All rights reserved to guests.", 6: "Copyright 2020 Acme.\nAll rights reserved.\n" + "\n".join(bsd),
+        7: "All rights reserved.\nReleased under the MIT License."}
+    got = {}
+    for r in licences.licences(documents(texts)).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).append(r.licence)
+    own = ["proprietary"]
+    assert got == {1: own, 2: own, 3: own, 6: ["BSD-2-Clause"], 7: ["proprietary", "MIT"]}
+
+
+def test_every_licence_line_of_the_sample_gives_a_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    lines = docs.selectExpr("explode(split(text, '\\n')) AS line").where("line RLIKE '(?i)licen[cs]e|rights reserved|copyright'")
+    kinds = {i: r.line for i, r in enumerate(lines.distinct().collect())}
+    assert len(kinds) == 5
+    found = {r.doc_id for r in licences.licences(spark.createDataFrame(list(kinds.items()), "doc_id long, text string")).collect()}
+    assert [kinds[i] for i in kinds if i not in found] == []
