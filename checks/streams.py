@@ -41,7 +41,27 @@ def r1_decision_stream(t):
 @check("SELECT DISTINCT lower(name) AS name, lower(surname) AS surname, date_of_birth FROM customer_submissions")
 def r2_first_applications(t):
     rows = _to_files(t, streams.first_applications(_stream(t, "customer_submissions")), "first")
-    return rows.select(F.lower("name").alias("name"), F.lower("surname").alias("surname"), "date_of_birth")
+    return rows.select(F.lower("name").alias("name"), F.lower("surname").alias("surname"), "date_of_birth").distinct()
+
+
+PARTS["timed_submissions"] = """
+    SELECT *, concat_ws('|', lower(name), lower(surname), date_of_birth) AS who FROM customer_submissions"""
+PARTS["next_submissions"] = """
+    SELECT DISTINCT who, submitted_at, min(submitted_at) OVER (PARTITION BY who ORDER BY submitted_at
+      RANGE BETWEEN INTERVAL '24 hours' FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM timed_submissions"""
+
+
+@check("""SELECT who, submitted_at FROM (
+            WITH RECURSIVE kept AS (
+              SELECT who, min(submitted_at) AS submitted_at FROM timed_submissions GROUP BY who
+              UNION ALL SELECT k.who, n.following FROM kept k JOIN next_submissions n ON n.who = k.who AND n.submitted_at = k.submitted_at
+                WHERE n.following IS NOT NULL)
+            SELECT * FROM kept) x""")
+def r2_kept_applications(t):
+    """Every kept application, where r2_first_applications compares the identities only."""
+    rows = _to_files(t, streams.first_applications(_stream(t, "customer_submissions")), "kept")
+    who = F.concat_ws("|", F.lower("name"), F.lower("surname"), "date_of_birth")
+    return rows.select(who.alias("who"), "submitted_at")
 
 
 PARTS["hour_windows"] = """

@@ -6,15 +6,18 @@ Results go to files, never to the driver. Event times are TIMESTAMP, which water
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from loanloom.functions.scalars import as_timestamp, event_time, wall_clock
-from loanloom.operators.joins import left_join_sparse
-from loanloom.operators.velocity import GAP_TEXT, MANY_SUBMISSIONS, MANY_TEXT, SCORE_GAP, fraud_flags
+from loanloom.functions.scalars import as_timestamp, epoch_micros, event_time, wall_clock
+from loanloom.operators.joins import identity_keys, left_join_sparse
+from loanloom.operators.velocity import GAP_TEXT, MANY_SUBMISSIONS, MANY_TEXT, MICROS, SCORE_GAP, fraud_flags
 from loanloom.plans.decisions import decide_stateless
+from loanloom.session import fresh_path
 from loanloom.sources.sinks import with_outcome
 
 IDENTITY = ("name", "surname", "date_of_birth")
@@ -42,16 +45,106 @@ def decisions(applications: DataFrame, features: DataFrame | None, as_of) -> Dat
     return left_join_sparse(decided, features, "user_id")
 
 
-def first_applications(submissions: DataFrame, horizon: str = "24 hours") -> DataFrame:
-    """One submission per identity (in any case) within the horizon; state is dropped after it.
+@dataclass(frozen=True)
+class ByBatch:
+    """A stream whose rows are chosen batch by batch; `writer` gives the batch function that writes to a path."""
 
-    An identity with a NULL part equals no other, so such rows all stay. Names are left as written.
+    stream: DataFrame
+    writer: Callable[[str], Callable[[DataFrame, int], None]]
+
+
+def first_applications(
+    submissions: DataFrame, horizon: str = "24 hours", stored: Callable[[], DataFrame] | None = None
+) -> ByBatch:
+    """The applications without a kept one of the same identity (in any case) less than the horizon before.
+
+    What is kept in earlier batches, and in the table `stored` from before the stream, is read back within the
+    horizon of the batch, so files that arrive in order of time give the same rows however they are batched. A row
+    that arrives late is also dropped for a kept one less than the horizon after it. An identity with a NULL part
+    equals no other, and a row without a time has no horizon: such rows all stay. Of several at the same
+    microsecond one stays. Columns are left as written.
+    """
+    span = _micros(horizon)
+
+    def writer(path: str) -> Callable[[DataFrame, int], None]:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            spark = batch.sparkSession
+            kept = _written_before(spark, path, batch.schema, batch_id).select(*IDENTITY, "submitted_at")
+            if stored is not None:
+                kept = kept.unionByName(stored().select(*IDENTITY, "submitted_at"))
+            at = epoch_micros(F.col("submitted_at"))
+            first, last = batch.agg(F.min(at), F.max(at)).first()
+            sent = F.col("submitted_at").cast("timestamp_ntz")
+            near = F.lit(False) if first is None else sent.between(_moment(first - span), _moment(last + span))
+            chosen = first_per_horizon(batch, kept.where(near), span)
+            chosen.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        return write
+
+    return ByBatch(submissions, writer)
+
+
+def first_per_horizon(batch: DataFrame, kept: DataFrame, span: int) -> DataFrame:
+    """The rows of `batch` that `first_applications` keeps beside the rows `kept` before; `span` in microseconds.
+
+    Time is cut into cells of one span, in which an identity can have one kept row at most. Kept rows shrink to
+    bounds per identity and cell. Then the cells of the batch are passed in order, each once, with the rows kept in
+    the cell before: a heavy identity is spread over its times and combined before the shuffle.
     """
-    timed = with_event_time(submissions)
-    unknown = F.concat(F.lit("\u0000"), F.xxhash64(*submissions.columns).cast("string"))
-    who = F.concat_ws("\u0001", F.lower("name"), F.lower("surname"), F.col("date_of_birth").cast("string"))
-    keyed = timed.withColumn("_who", F.when(_identified(), who).otherwise(unknown))
-    return keyed.withWatermark("submitted_at", horizon).dropDuplicatesWithinWatermark(["_who"]).drop("_who")
+    spark, keys = batch.sparkSession, ["_name", "_surname", "_birth"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        pos = epoch_micros(F.col("submitted_at"))
+        cell = ((pos - F.pmod(pos, F.lit(span))) / span).cast("bigint")
+        return df.select("*", *identity_keys(df), pos.alias("_pos"), cell.alias("cell"))
+
+    placed = _identified() & F.col("submitted_at").isNotNull()
+    alone = batch.where(~placed)
+    row = F.min_by(F.struct(*batch.columns), F.xxhash64(*batch.columns)).alias("row")
+    single = keyed(batch.where(placed).select(*batch.columns)).groupBy(*keys, "_pos", "cell").agg(row)
+
+    bounds = keyed(kept.where(placed).select(*IDENTITY, "submitted_at")).groupBy(*keys, "cell").agg(
+        F.min("_pos").alias("low"), F.max("_pos").alias("high"))
+    nothing = F.lit(None).cast("bigint")
+    ends = [F.struct((F.col("cell") + d).alias("cell"), F.col("high").alias("before"), nothing.alias("after")) for d in (0, 1)]
+    ends += [F.struct((F.col("cell") + d).alias("cell"), nothing.alias("before"), F.col("low").alias("after")) for d in (-1, 0)]
+    around = bounds.select(*keys, F.inline(F.array(*ends))).groupBy(*keys, "cell").agg(
+        F.max("before").alias("before"), F.min("after").alias("after"))
+    taken = (F.col("_pos") - F.col("before") < span) | (F.col("after") - F.col("_pos") < span)
+    free = single.join(around, [*keys, "cell"], "left").where(~F.coalesce(taken, F.lit(False))).drop("before", "after")
+
+    path = fresh_path(spark, "horizon")
+    free = free.repartition("cell", F.pmod("_pos", F.lit(16)))
+    free.write.partitionBy("cell").parquet(f"{path}/free")
+    free = spark.read.schema(free.schema).parquet(f"{path}/free")
+    kept_schema = free.select(*keys, "_pos").schema
+    cells = sorted(r.cell for r in free.select("cell").distinct().collect())
+    for cell in cells:
+        open_rows = free.where(F.col("cell") == cell).select(*keys, "_pos")
+        if cell - 1 in cells:
+            last = spark.read.schema(kept_schema).parquet(f"{path}/kept/cell={cell - 1}").withColumnRenamed("_pos", "last")
+            open_rows = open_rows.join(last, keys, "left").where(F.col("last").isNull() | (F.col("_pos") - F.col("last") >= span))
+        open_rows.groupBy(*keys).agg(F.min("_pos").alias("_pos")).write.parquet(f"{path}/kept/cell={cell}")
+    if not cells:
+        return alone
+    chosen = spark.read.schema(free.select(*keys, "_pos", "cell").schema).parquet(f"{path}/kept")
+    return free.join(chosen, [*keys, "_pos", "cell"]).select("row.*").unionByName(alone)
+
+
+def _micros(horizon: str) -> int:
+    number, unit = horizon.split()
+    return int(number) * {"minute": 60, "hour": 3600, "day": 86400}[unit.removesuffix("s")] * MICROS
+
+
+def _moment(micros: int) -> Column:
+    return as_timestamp(datetime(1970, 1, 1) + timedelta(microseconds=micros))
+
+
+def _written_before(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
+    """The rows that earlier batches wrote to <path>/batch=<id>."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    numbered = StructType([*schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(numbered).parquet(path).where(F.col("batch") < batch_id).drop("batch")
 
 
 def _identified() -> Column:
@@ -90,8 +183,10 @@ def daily_totals(submissions: DataFrame, late: str = "1 hour") -> DataFrame:
     return counted.select(F.to_date(wall_clock(F.col("day.start"))).alias("day"), "total", "approved", "rejected")
 
 
-def write_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends finished rows to files; the sink's log makes a retried batch appear once."""
+def write_files(stream: DataFrame | ByBatch, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends finished rows to files; the sink's log, or a folder per batch, makes a retried batch appear once."""
+    if isinstance(stream, ByBatch):
+        return each_batch(stream.stream, stream.writer(path), checkpoint)
     return (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)

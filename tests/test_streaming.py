@@ -68,3 +68,16 @@ def test_a_retried_batch_is_written_once(spark, arrivals, make):
     write(batch, 0)
     write(make("k int, decision string", (3, "APPROVED")), 1)
     assert sorted((r.k, r.outcome) for r in spark.read.parquet(path).collect()) == [(1, "Approved"), (2, "Rejected"), (3, "Approved")]
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 1000])
+def test_first_applications_hang_on_the_horizon_not_on_the_batches(spark, make, files_per_batch):
+    hours = [("Ann", 0), ("ANN", 23), ("Ann", 24), ("ann", 40), ("Ann", 47), ("Ann", 48), ("Ann", 48 + 19 * 24), ("Bob", 30), ("Bob", 30 + 19 * 24)]
+    data = [(i, n, "S", "1/1/1990", 1.0, T0 + timedelta(hours=h), "APPROVED") for i, (n, h) in enumerate(hours)]
+    data += [(100, "Ann", None, "1/1/1990", 1.0, T0, "APPROVED")] * 3 + [(101, "Ann", "S", "1/1/1990", 1.0, None, "APPROVED")] * 2
+    data.sort(key=lambda r: r[5] or T0)
+    folder = fresh_path(spark, "horizon-in")
+    for row in data:
+        make(SCHEMA, row).coalesce(1).write.mode("append").parquet(folder)
+    got = run(spark, streams.first_applications(streams.read_stream(spark, folder, SCHEMA, files_per_batch=files_per_batch)))
+    assert sorted(r.id for r in got.collect()) == [0, 2, 5, 6, 7, 8, 100, 100, 100, 101, 101]
