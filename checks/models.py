@@ -13,7 +13,6 @@ from loanloom.operators import ranking
 from loanloom.plans import decisions, features, model
 from loanloom.session import fresh_path, materialise
 
-QUICK = model.Training(trees=5, depth=3)
 _FITTED: dict = {}
 
 
@@ -52,12 +51,12 @@ def m4_online_features(t):
 
 
 def _fitted(t):
-    """Features, split and a small model of one sample folder, built once per session."""
+    """Features, split and the model of one sample folder with the default settings, built once per session."""
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _FITTED:
         rows = materialise(features.build_features(t.credit, AS_OF))
         split = ranking.stratified_split(rows, "target", "user_id")
-        _FITTED[key] = rows, split, model.train(split.where(F.col("slice") == "train"), settings=QUICK)
+        _FITTED[key] = rows, split, model.train(split.where(F.col("slice") == "train"))
     return _FITTED[key]
 
 
@@ -101,7 +100,7 @@ def m9_evaluation(t):
 def m9_evaluation_without_target_inputs(t):
     _, split, _ = _fitted(t)
     kept = [f for f in features.FEATURES_V3 if f not in model.TARGET_INPUTS]
-    fitted = model.train(split.where(F.col("slice") == "train"), kept, QUICK)
+    fitted = model.train(split.where(F.col("slice") == "train"), kept)
     return model.evaluate(split, fitted)
 
 

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from checks import models
 from loanloom.plans import model
 from loanloom.plans.decisions import score_all
 from loanloom.session import fresh_path
@@ -63,3 +65,12 @@ def test_scored_features_need_no_join(matrix, fitted):
     scored = score_all(wide.withColumns({c: F.lit(1.0) for c in extra}), None, "2024-01-31 00:00:00")
     assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert scored.count() == 400 and scored.where("ml_probability IS NULL").count() == 0
+
+
+def test_registered_queries_train_with_the_default_settings(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(models, "_FITTED", {})
+    monkeypatch.setattr(model, "train", lambda rows, features=None, settings=model.TRAINING_V3: used.append((settings.trees, settings.depth)))
+    monkeypatch.setattr(model, "evaluate", lambda split, fitted: spark.range(1))
+    entry.queries()["m9_evaluation_without_target_inputs"](spark, "/root/testdata/sf0.001")
+    assert used == [(300, 5), (300, 5)]
