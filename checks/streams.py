@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks.decide import offer_columns, reasons_text
 from checks.parts import PARTS, flags_sql, r6
 from checks.registry import check
 from loanloom import fixtures
 from loanloom.fixtures import AS_OF
 from loanloom.operators import aggregates
-from loanloom.session import fresh_path
+from loanloom.plans import features
+from loanloom.session import fresh_path, materialise
 from loanloom.streaming import applications as streams
 
 
@@ -32,12 +34,25 @@ def _to_files(t, stream, name):
              WHEN ml_score >= 50 THEN 'APPROVED' ELSE 'REJECTED — High credit risk' END AS decision, l.total_loans
            FROM scored_applications a LEFT JOIN loan_totals l ON l.user_id = a.user_id""")
 def r1_decision_stream(t):
+    """The scorecard for every application, as its SQL says; r1_decisions_by_type has the answers by customer_type."""
     known = aggregates.loans_per_user(t.loans).select("user_id", "total_loans")
     decided = streams.decisions(_stream(t, "applications"), known, AS_OF)
-    rows = _to_files(t, decided.drop("reasons", "loan_recommendation"), "decisions")
+    rows = _to_files(t, decided, "decisions")
     return rows.select("application_id", "age", "ml_score", "decision", "total_loans")
 
 
+@check("SELECT * EXCLUDE (identified) FROM answers")
+def r1_decisions_by_type(t):
+    asked = t.applications.where("customer_type = 'existing' AND user_id IS NOT NULL").select("user_id").distinct()
+    known = materialise(features.online_features(t.credit, AS_OF, user_ids=asked))
+    decided = streams.decisions_by_type(
+        _stream(t, "applications"), lambda: t.customer_submissions, t.users, t.questionnaires, known, t.predictions, AS_OF)
+    return _to_files(t, decided, "answers").select(
+        "application_id", "customer_type", "already_exists", "existing_user_id", "decision_error", "age", "decision",
+        "decision_type", "ml_score", reasons_text().alias("reasons"), F.array_join("fraud_flags", " | ").alias("fraud_flags"),
+        *offer_columns())
+
+
 @check("SELECT DISTINCT lower(name) AS name, lower(surname) AS surname, date_of_birth FROM customer_submissions")
 def r2_first_applications(t):
     rows = _to_files(t, streams.first_applications(_stream(t, "customer_submissions")), "first")
@@ -81,6 +96,17 @@ def r3_hourly_velocity(t):
         F.min("window.start").alias("first_start"), F.max("window.start").alias("last_start"))
 
 
+@check(f"""SELECT name, surname, date_of_birth, start, n AS recent_count, concat_ws(' | ',
+             CASE WHEN n >= 3 THEN 'Multiple submissions in 24 hours' END,
+             CASE WHEN high - low > 100 THEN 'AKB score varies significantly across submissions' END) AS fraud_flags
+           FROM hour_windows""")
+def r3_hourly_flags(t):
+    rows = _to_files(t, streams.hourly_velocity(_stream(t, "customer_submissions")), "hourly-flags")
+    return rows.select(
+        "name", "surname", "date_of_birth", F.col("window.start").alias("start"), "recent_count",
+        F.array_join("fraud_flags", " | ").alias("fraud_flags"))
+
+
 @check(f"""SELECT s.id, recent_count, {flags_sql('s.akb_score')} AS fraud_flags
            FROM customer_submissions s JOIN recent_submissions_24h r ON r.id = s.id""")
 def r3_exact_velocity(t):

@@ -11,12 +11,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from loanloom.functions.scalars import as_timestamp, epoch_micros, event_time, wall_clock
 from loanloom.operators.joins import identity_keys, left_join_sparse
 from loanloom.operators.velocity import GAP_TEXT, MANY_SUBMISSIONS, MANY_TEXT, MICROS, SCORE_GAP, fraud_flags
-from loanloom.plans.decisions import decide_stateless
+from loanloom.plans.decisions import decide_stateless, decide_submissions
 from loanloom.session import fresh_path
 from loanloom.sources.sinks import with_outcome
 
@@ -38,7 +38,10 @@ def with_event_time(df: DataFrame, ts: str = "submitted_at") -> DataFrame:
 
 
 def decisions(applications: DataFrame, features: DataFrame | None, as_of) -> DataFrame:
-    """Decision per application; features of existing customers are joined from a static table."""
+    """The scorecard's decision per application, whatever its customer_type; features are appended from a static table.
+
+    `decisions_by_type` decides existing customers by their stored data instead.
+    """
     decided = decide_stateless(applications, as_of)
     if features is None:
         return decided
@@ -53,6 +56,39 @@ class ByBatch:
     writer: Callable[[str], Callable[[DataFrame, int], None]]
 
 
+def decisions_by_type(
+    applications: DataFrame,
+    stored: Callable[[], DataFrame],
+    users: DataFrame,
+    questionnaires: DataFrame,
+    features: DataFrame,
+    probabilities: DataFrame | None,
+    as_of,
+    key: str = "application_id",
+) -> ByBatch:
+    """Answers of `decide_submissions` over a stream: new applicants by scorecard, all others by their stored data.
+
+    `stored` gives the submissions from before the stream. New applications that earlier batches answered count
+    as submitted too, with `key` as their id, so a duplicate is found across batches and in its own.
+    """
+    known = ["id", *IDENTITY, "akb_score", "submitted_at"]
+
+    def writer(path: str) -> Callable[[DataFrame, int], None]:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            schema = StructType([*batch.schema.fields, StructField("decision", StringType())])
+            answered = _written_before(batch.sparkSession, path, schema, batch_id).where(
+                "decision IS NOT NULL AND customer_type = 'new'").withColumn("id", F.col(key))
+            before = stored().select(*known)
+            if before.schema["id"].dataType != answered.schema["id"].dataType:
+                before, answered = (df.withColumn("id", F.col("id").cast("string")) for df in (before, answered))
+            decided = decide_submissions(
+                batch, before.unionByName(answered.select(*known)), users, questionnaires, features, probabilities, as_of, key)
+            decided.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        return write
+
+    return ByBatch(applications, writer)
+
+
 def first_applications(
     submissions: DataFrame, horizon: str = "24 hours", stored: Callable[[], DataFrame] | None = None
 ) -> ByBatch:

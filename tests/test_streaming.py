@@ -5,7 +5,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from checks.registry import Tables
+from loanloom.fixtures import AS_OF
 from loanloom.operators import velocity
+from loanloom.plans import decisions, features
 from loanloom.session import fresh_path
 from loanloom.streaming import applications as streams
 
@@ -81,3 +84,25 @@ def test_first_applications_hang_on_the_horizon_not_on_the_batches(spark, make,
         make(SCHEMA, row).coalesce(1).write.mode("append").parquet(folder)
     got = run(spark, streams.first_applications(streams.read_stream(spark, folder, SCHEMA, files_per_batch=files_per_batch)))
     assert sorted(r.id for r in got.collect()) == [0, 2, 5, 6, 7, 8, 100, 100, 100, 101, 101]
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 1000])
+def test_decisions_by_type_equal_the_batch(spark, files_per_batch):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    again = t.applications.where("application_id % 5 = 0").withColumns({
+        "application_id": F.col("application_id") + 1000, "submitted_at": F.expr("submitted_at + INTERVAL 2 DAYS")})
+    folder = fresh_path(spark, "applications-in")
+    for sent in (t.applications, again):
+        sent.coalesce(1).write.mode("append").parquet(folder)
+    known = features.online_features(t.credit, AS_OF).cache()
+    tables = t.users, t.questionnaires, known, t.predictions, AS_OF
+    stream = streams.read_stream(spark, folder, t.applications.schema, files_per_batch=files_per_batch)
+    got = run(spark, streams.decisions_by_type(stream, lambda: t.customer_submissions, *tables))
+    want = decisions.decide_submissions(t.applications.unionByName(again), t.customer_submissions, *tables)
+    answer = ["application_id", "already_exists", "existing_user_id", "decision_error", "decision", "decision_type", "ml_score",
+              "reasons", "loan_recommendation", "fraud_flags"]
+    rows = {r.application_id: r for r in got.select(answer).collect()}
+    assert rows == {r.application_id: r for r in want.select(answer).collect()} and len(rows) == got.count()
+    assert any(r.already_exists and r.application_id > 1000 for r in rows.values())
+    assert any(r.ml_score is not None and i % 3 == 0 and i < 1000 for i, r in rows.items())
+    known.unpersist()
