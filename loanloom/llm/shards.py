@@ -203,6 +203,12 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def _holds(files: pafs.FileSystem, name: str, data: bytes) -> bool:
+    """Full shards all have one size, so only equal bytes say that a file is this one, of this key and these documents."""
+    with files.open_input_stream(name) as source:
+        return source.read() == data
+
+
 def _writer(folder: str) -> Callable:
     def write(table: pa.Table) -> pa.Table:
         table = table.sort_by("slot")
@@ -210,7 +216,7 @@ def _writer(folder: str) -> Callable:
         files, base = _filesystem(folder)
         name, data = f"{base}/shard-{number:08d}.bin", b"".join(table["ids"].to_pylist())
         there = files.get_file_info(name)
-        if there.type == pafs.FileType.NotFound or there.size != len(data):
+        if there.type == pafs.FileType.NotFound or there.size != len(data) or not _holds(files, name, data):
             files.create_dir(base, recursive=True)
             part = f"{name}.{uuid.uuid4().hex}"
             with files.open_output_stream(part) as out:

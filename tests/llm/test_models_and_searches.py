@@ -173,6 +173,17 @@ def test_shards_hold_every_text(odd, spark, stream, monkeypatch):
     assert sorted(map(repr, shards.write_shards(docs, folder, 64, 50, 3)[0].collect())) == sorted(map(repr, rows))
 
 
+def test_shards_of_another_key_are_written_anew(documents):
+    docs = documents({i: f"text {i} of shards " * 9 for i in range(40)}, parts=1)
+    first, folder = shards.write_shards(docs, length=64, shard_rows=8, key=3)
+    first.collect()
+    n = len(shards.write_shards(docs, folder, 64, 8, 4)[0].collect())
+    fresh, other = shards.write_shards(docs, length=64, shard_rows=8, key=4)
+    assert len(fresh.collect()) == n
+    held = [np.concatenate(list(shards.read_slots(f, 0, n, 64, 8))) for f in (folder, other)]
+    assert np.array_equal(*held)
+
+
 def test_shards_of_a_vocabulary(documents, tmp_path):
     import base64
 
