@@ -1,10 +1,10 @@
-"""Suffix-array dedup by a depth-limited radix sort over words.
+"""Dedup of repeated word windows by hashes, in place of an ordered suffix array.
 
-Every word starts a suffix. Suffixes are ordered by their first `depth` words only, most significant digit
-first: a digit is a block of words, ordered by its hash. A pass deals the suffixes to ranges of their digits so
-far, sorts each range, and lets only suffixes with an equal neighbour go on to the next digit, as a most-
-significant-digit radix sort leaves groups of one alone. After the last digit equal groups are exactly the
-windows of `depth` words that occur more than once; their words are removed, wherever they stand.
+Every word starts a suffix, of which the first `depth` words count. A pass deals the suffixes by a hash of all their
+words up to the end of its digit, a block of words, and lets only suffixes with an equal one go on to the next digit.
+Suffixes that are equal through one digit are not kept together in the next, so no order of suffixes exists: the first
+digit only filters. After the last digit equal groups are exactly the windows of `depth` words that occur more than
+once; their words are removed, wherever they stand.
 
 The passes run over chunks of documents (lookups.py): a chunk sends each distinct digit string once and is told
 which of them occur in other chunks, so a passage in a third of all documents is one entry per chunk.
