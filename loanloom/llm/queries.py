@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanloom.llm import (
-    bagminhash, decontaminate, exact, language, licences, packing, shards, substrings, suffixes, toxicity)
+    bagminhash, decontaminate, exact, katz, language, licences, packing, shards, substrings, suffixes, toxicity)
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,10 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     learned = docs.where(~language.held_out(F.col("doc_id")))
     found = language.identify(docs.select("doc_id", "text"), language.fit(learned))
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op11_katz(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores to six digits, so that the order of additions doesn't show."""
+    scores = katz.fit(table(spark, folder, "documents")).score()
+    return scores.withColumns({name: F.round(name, 6) for name in ("base_score", "score")})
