@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.bytestext import Texts, grouped, ids_of, mix, pack_planes, texts_of, unpack_planes, word_hashes
+from loanloom.llm.bytestext import Texts, distinct, grouped, ids_of, mix, pack_planes, texts_of, unpack_planes, word_hashes
 
 #: Text of a chunk; the arrays over its words take some 25 times as much.
 CHUNK_BYTES = 6 << 20
@@ -250,7 +250,7 @@ def route(level: Level, rows: np.ndarray, buckets: int, spread: np.ndarray | Non
     pairs = bucket * size + level.hist[rows]
     if alone is not None:
         pairs = np.concatenate([pairs, (level.before.hash[alone] % np.uint64(buckets)).astype(np.int64) * size + alone])
-    pairs = np.unique(pairs)
+    pairs = distinct(pairs)
     edges = np.arange(buckets + 1)
     row_cuts, hist_cuts = np.searchsorted(bucket, edges), np.searchsorted(pairs // size, edges)
     used = np.flatnonzero(np.diff(hist_cuts))
