@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanloom.llm.bytestext import grouped, pack, pack_bits, pack_planes, unpack, unpack_bits, unpack_planes
+from loanloom.llm.bytestext import grouped, mix, pack, pack_bits, pack_planes, unpack, unpack_bits, unpack_planes
 from loanloom.llm.packing import word_count
 from loanloom.session import materialise
 
@@ -120,8 +120,8 @@ class Sketch:
     def _cells(self, table: pa.Table) -> np.ndarray:
         """One cell per prefix and row of the sketch; rows use disjoint numbers."""
         keys = table["cell"].to_numpy().view(np.uint64)
-        shifts = [np.uint64(i * 32) for i in range(SKETCH_ROWS)]
-        return np.stack([((keys >> s) % np.uint64(self.width)) + np.uint64(i * self.width) for i, s in enumerate(shifts)])
+        rows = [np.uint64(i) for i in range(SKETCH_ROWS)]
+        return np.stack([mix(keys + i) % np.uint64(self.width) + i * np.uint64(self.width) for i in rows])
 
     def ask(self, table: pa.Table) -> pa.Table:
         cells, _, which = grouped(self._cells(table).ravel())
@@ -200,7 +200,7 @@ def trie(lengths: DataFrame, turns: DataFrame) -> DataFrame:
         F.sum(F.greatest(F.col("saves") - F.col("total") + F.col("words"), F.lit(0))).alias("saved_tokens"))
     root = convs.agg(
         F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"),
-        F.count_if("under = 0 AND length > 0").alias("n_children"),
+        F.count_if((F.col("under") == 0) & (F.col("length") > 0)).alias("n_children"),
         F.greatest(F.count_if("leaf"), F.lit(1)).alias("n_leaves"), F.sum("saves").alias("saved_tokens"),
     ).where("n_convs > 0").withColumns({c: F.lit(0).cast("bigint") for c in NODE} | {c: F.lit(None).cast("bigint") for c in ("up_high", "up_low")})
     grouped_nodes = materialise(inner.unionByName(root, allowMissingColumns=True))

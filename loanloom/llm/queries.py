@@ -175,10 +175,10 @@ plain AS (SELECT level, CASE WHEN n[1] > 0 AND n[2] > 0 THEN n[1] / (n[1] + 2 *
 discounts AS (SELECT level, coalesce(d, list_transform(range(1, 6), lambda r: (r - less) / r)) AS d FROM plain LEFT JOIN fits USING (level)),
 sums AS (SELECT sum(c)::BIGINT AS n, count(*) AS v, 1 - sum({_discount(1, 1)} * c) / (sum(c) + 0.01) AS unknown FROM c1),
 p1 AS (SELECT z, c, {_discount(1, 1)} * c / (n + 0.01) AS p FROM c1, sums),
-p2 AS (SELECT y, z, c2.c, {_discount(2, 1).replace("c <", "c2.c <").replace("[c]", "[c2.c]")} * c2.c / (h.c + 0.01) AS p
+p2 AS (SELECT c2.y, c2.z, c2.c, {_discount(2, 1).replace("c <", "c2.c <").replace("[c]", "[c2.c]")} * c2.c / (h.c + 0.01) AS p
        FROM c2 JOIN c1 h ON h.z = c2.y),
 a2 AS (SELECT y, (1 - sum(p2.p)) / (1 - sum(p1.p)) AS a FROM p2 JOIN p1 USING (z) GROUP BY y),
-p3 AS (SELECT x, c3.y, c3.z, {_discount(3, 2).replace("c <", "c3.c <").replace("[c]", "[c3.c]")} * c3.c / (h.c + 0.01) AS p
+p3 AS (SELECT c3.x, c3.y, c3.z, {_discount(3, 2).replace("c <", "c3.c <").replace("[c]", "[c3.c]")} * c3.c / (h.c + 0.01) AS p
        FROM c3 JOIN c2 h ON h.y = c3.x AND h.z = c3.y WHERE c3.c > 1),
 a3 AS (SELECT x, y, (1 - sum(p3.p)) / (1 - sum(p2.p)) AS a FROM p3 JOIN p2 USING (y, z) GROUP BY x, y),
 scored AS (SELECT doc_id, held_out, coalesce(p1.c, 0) AS c,
