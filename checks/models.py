@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.decide import DECIDED
-from checks.parts import r6
+from checks.parts import PARTS, r6
 from checks.registry import check
+from checks.relational import CELLS, SCORES, _auc
 from checks.scalar import COUNTED, MEASURED
 from loanloom.fixtures import AS_OF
-from loanloom.operators import ranking
-from loanloom.plans import decisions, features, model
+from loanloom.operators import metrics, ranking
+from loanloom.plans import boosting, decisions, features, model
 from loanloom.session import fresh_path, materialise
 
 _FITTED: dict = {}
@@ -104,6 +105,60 @@ def m9_evaluation_without_target_inputs(t):
     return model.evaluate(split, fitted)
 
 
+def _tree(*nodes: tuple | float) -> boosting.Tree:
+    """A tree of depth 2 from its 7 nodes: (feature, threshold, missing_left) or a leaf's value."""
+    tree = boosting.Tree.empty(2)
+    for i, node in enumerate(nodes):
+        if isinstance(node, tuple):
+            tree.feature[i], tree.threshold[i], tree.missing_left[i] = node
+            tree.gain[i] = 10.0 / (i + 1)
+        else:
+            tree.value[i] = node
+    return tree
+
+
+#: A small ensemble in the form that training gives, so that scoring has an exact answer in SQL.
+ENSEMBLE = boosting.Ensemble(
+    ["total_loans", "akb_score", "payment_success_rate", "monthly_income", "loans_overdue"],
+    [_tree((0, 3.0, True), (1, 500.0, False), (2, 0.5, True), -0.8, 0.35, -0.1, 0.9),
+     _tree((4, 1.0, False), (3, 2500.0, True), (1, 350.0, True), 0.4, 0.75, -0.6, -0.25),
+     _tree((2, 0.75, False), 0.2, (0, 8.0, True), 0.0, 0.0, -0.3, 0.15)])
+PARTS["ensemble_margins"] = f"SELECT user_id, target, {ENSEMBLE.as_sql()} FROM feat"
+PARTS["ensemble_predictions"] = """SELECT user_id, target, 1 / (1 + exp(-margin)) AS probability,
+    CASE WHEN 1 / (1 + exp(-margin)) > 0.5 THEN 1 ELSE 0 END AS prediction FROM ensemble_margins"""
+PARTS["ensemble_split"] = PARTS["split"].replace("FROM predictions", "FROM ensemble_predictions")
+PARTS["ensemble_sliced"] = PARTS["sliced"].replace("FROM split", "FROM ensemble_split")
+
+
+def _stored_ensemble(t):
+    """The ensemble after a round through the model store."""
+    path = fresh_path(t.spark, "ensemble")
+    boosting.save(t.spark, ENSEMBLE, path)
+    return boosting.load(t.spark, path)
+
+
+@check(f"SELECT user_id, {r6('probability')}, prediction FROM ensemble_predictions")
+def m6_ensemble_prediction(t):
+    rows = boosting.predict(features.build_features(t.credit, AS_OF), _stored_ensemble(t))
+    return rows.select("user_id", "probability", "prediction")
+
+
+@check(f"""SELECT c.slice, tn, fp, fn, tp, {SCORES}, {r6('auc', 'roc_auc')}
+           FROM (SELECT slice, {CELLS} FROM ensemble_sliced GROUP BY slice) c
+           JOIN ({_auc('ensemble_sliced', 'slice')}) a ON a.slice = c.slice""")
+def m9_ensemble_evaluation(t):
+    rows = boosting.predict(features.build_features(t.credit, AS_OF), _stored_ensemble(t))
+    return metrics.evaluation(ranking.stratified_split(rows, "target", "user_id"))
+
+
+@check()
+def m5_newton_training(t):
+    """The nodes of all trees that second-order boosting grows with the default settings on the train slice."""
+    rows = materialise(features.build_features(t.credit, AS_OF))
+    split = ranking.stratified_split(rows, "target", "user_id")
+    return boosting.tree_table(t.spark, boosting.train(split.where(F.col("slice") == "train"), features.FEATURES_V3))
+
+
 WITHOUT = DECIDED.replace("FROM predictions", "FROM (SELECT user_id, CAST(NULL AS DOUBLE) AS probability FROM predictions) n")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from checks.parts import r6
 from checks.registry import check
 from checks.relational import batch_decisions
-from loanloom.fixtures import AS_OF
+from loanloom.fixtures import AS_OF, SHEET_SOURCES, source_name
 from loanloom.plans import decisions, features
 from loanloom.session import fresh_path
 from loanloom.sources import ingest, readers, schemas, sinks
@@ -154,3 +156,94 @@ def s16_append_submissions(t):
     columns = ["name", "surname", "submitted_at", "customer_type"]
     sinks.append_submissions(t.applications.select(*columns), path)
     return t.spark.read.parquet(path).select("name", "surname", "submitted_at")
+
+
+# All 15 source sheets. Their SQL is put together from the declared columns.
+DUCK_TYPES = {"string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
+LENIENT = [
+    (schemas.LENIENT_TIMESTAMPS, "try_cast({0} AS TIMESTAMP)"), (schemas.LENIENT_DATES, "try_cast({0} AS DATE)"),
+    (schemas.LENIENT_NUMBERS, "try_cast({0} AS DECIMAL(15,2))"),
+    (schemas.TRI_STATE, "CASE {0} WHEN '1.0' THEN TRUE WHEN '0.0' THEN FALSE END"), (schemas.TRUTHY, "coalesce({0} <> '0.0', TRUE)"),
+    (schemas.NULLABLE_INTEGERS, "CASE WHEN try_cast({0} AS DOUBLE) = floor(try_cast({0} AS DOUBLE)) THEN CAST(try_cast({0} AS DOUBLE) AS BIGINT) END"),
+]
+
+
+def _problems(table: str) -> list[tuple[str, str]]:
+    """(violation, condition in SQL) of every rule of a table, in the order of its columns."""
+    out = []
+    for c in schemas.columns(table):
+        raw = f'"{source_name(table, c.name)}"'
+        parse = next((sql for by_table, sql in LENIENT if c.name in by_table.get(table, ())), None)
+        source = parse.format(raw) if parse else raw
+        if not parse:
+            out.append((f"{c.name}: not a {c.type}", f"{raw} IS NOT NULL AND try_cast({raw} AS {DUCK_TYPES.get(c.type, c.type)}) IS NULL"))
+        if c.length:
+            out.append((f"{c.name}: longer than {c.length}", f"length({raw}) > {c.length}"))
+        if c.required and c.default is None:
+            out.append((f"{c.name}: missing", f"({source}) IS NULL"))
+    return out
+
+
+def _sheets(t) -> dict:
+    return {table: getattr(t, f"sheet_{table}") for table in SHEET_SOURCES}
+
+
+def _per_table(sql) -> str:
+    return " UNION ALL ".join(f"({sql(table)})" for table in SHEET_SOURCES)
+
+
+def _union(parts):
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _names_sql(table: str, names: dict[str, str]) -> str:
+    counts = ", ".join(f'count("{source}") AS "{name}"' for name, source in names.items())
+    listed = ", ".join(f'"{name}"' for name in names)
+    return f"SELECT '{table}' AS table_name, column_name, filled FROM (SELECT {counts} FROM sheet_{table}) UNPIVOT (filled FOR column_name IN ({listed}))"
+
+
+def _filled(table: str, df):
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return counts.unpivot([], [f"`{c}`" for c in df.columns], "column_name", "filled").select(F.lit(table).alias("table_name"), "column_name", "filled")
+
+
+@check(_per_table(lambda table: _names_sql(table, {n: n for n in [source_name(table, c.name) for c in schemas.columns(table)]})))
+def s1_all_sheets(t):
+    """Values per column of all 15 sheets, read back from CSV workbooks."""
+    folder = fresh_path(t.spark, "workbooks")
+    for workbook, sheets in schemas.SHEETS.items():
+        for sheet, table in sheets.items():
+            getattr(t, f"sheet_{table}").write.option("header", True).csv(f"{folder}/{workbook}/{sheet}.csv")
+    books = [readers.read_workbook(t.spark, folder, workbook) for workbook in schemas.SHEETS]
+    return _union(_filled(table, df) for book in books for table, df in book.items())
+
+
+@check(_per_table(lambda table: _names_sql(table, {c.name: source_name(table, c.name) for c in schemas.columns(table)})))
+def s4_all_names(t):
+    """Values per canonical column of all 15 sheets."""
+    return _union(_filled(table, ingest.with_canonical_names(df)) for table, df in _sheets(t).items())
+
+
+def _violations_sql(table: str) -> str:
+    listed = ", ".join(f"CASE WHEN {condition} THEN '{text}' END" for text, condition in _problems(table))
+    return f"SELECT '{table}' AS table_name, unnest(list_filter([{listed}], lambda v: v IS NOT NULL)) AS violation FROM sheet_{table}"
+
+
+@check(f"SELECT table_name, violation, count(*) AS rows FROM ({_per_table(_violations_sql)}) v GROUP BY table_name, violation")
+def s10_all_tables(t):
+    """Rows per violation of every column of all 15 tables."""
+    checked = {table: ingest.conformed(ingest.typed(df, table), table) for table, df in _sheets(t).items()}
+    found = _union(df.select(F.lit(table).alias("table_name"), F.explode("violations").alias("violation")) for table, df in checked.items())
+    return found.groupBy("table_name", "violation").agg(F.count("*").alias("rows"))
+
+
+def _reconciled_sql(table: str) -> str:
+    bad = " OR ".join(f"coalesce({condition}, FALSE)" for _, condition in _problems(table))
+    return f"""SELECT '{table}' AS table_name, count(*) AS source_rows, count(*) FILTER (NOT ({bad})) AS loaded_rows,
+               CASE WHEN bool_or({bad}) THEN 'MISMATCH' ELSE 'OK' END AS status FROM sheet_{table}"""
+
+
+@check(_per_table(_reconciled_sql))
+def s12_all_tables(t):
+    """All 15 sheets ingested and reconciled; rejected rows are the difference."""
+    return ingest.ingest_all(_sheets(t), fresh_path(t.spark, "ingest-all"))

@@ -12,7 +12,7 @@ from loanloom.fixtures import AS_OF
 from loanloom.operators import aggregates
 from loanloom.plans import features
 from loanloom.session import fresh_path, materialise
-from loanloom.streaming import applications as streams
+from loanloom.streaming import applications as streams, stateful
 
 
 def _open(spark, folder, table):
@@ -117,6 +117,19 @@ def r3_exact_velocity(t):
     return rows.select("id", "recent_count", F.array_join("fraud_flags", " | ").alias("fraud_flags"))
 
 
+@check(f"""SELECT s.id, recent_count, {r6('recent_low')}, {r6('recent_high')}, {flags_sql('s.akb_score')} AS fraud_flags
+           FROM customer_submissions s JOIN recent_submissions_24h r ON r.id = s.id
+           WHERE name IS NOT NULL AND surname IS NOT NULL AND date_of_birth IS NOT NULL
+             AND time_bucket(INTERVAL '10 minutes', s.submitted_at) + INTERVAL '10 minutes'
+               <= (SELECT max(submitted_at) FROM customer_submissions) - INTERVAL '1 hour'""")
+def r3_stateful_velocity(t):
+    """All rows that the watermark has passed when the stream ends; operator state in place of the stored table."""
+    stateful.use_rocksdb(t.spark)
+    rows = _to_files(t, stateful.exact_velocity(_stream(t, "customer_submissions")), "stateful-velocity")
+    return rows.select(F.col("id").cast(t.customer_submissions.schema["id"].dataType).alias("id"), "recent_count", "recent_low",
+                       "recent_high", F.array_join("fraud_flags", " | ").alias("fraud_flags"))
+
+
 @check("""SELECT CAST(submitted_at AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE decision = 'APPROVED') AS approved,
             count(*) FILTER (WHERE decision <> 'APPROVED') AS rejected
           FROM customer_submissions WHERE CAST(submitted_at AS DATE) + INTERVAL '1 day'

@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from loanloom.sources import schemas
+from loanloom.sources.ingest import RENAMED
+
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -226,6 +229,75 @@ VIEWS: dict[str, View] = {
 }
 
 
+#: The sample table and the number each row of a source sheet is derived from.
+SHEET_SOURCES = {
+    "users": ("customer", "c_custkey"), "questionnaires": ("customer", "c_custkey"), "loans": ("orders", "o_orderkey"),
+    "loan_states": ("lineitem", "l_orderkey * 10 + l_linenumber"), "loan_conditions": ("orders", "o_orderkey"),
+    "credit_products": ("part", "p_partkey"), "credit_intervals": ("part", "p_partkey"), "loan_actions": ("orders", "o_orderkey"),
+    "payments": ("events", "event_id"), "cards": ("customer", "c_custkey"), "akb_scores": ("orders", "o_orderkey"),
+    "akb_history_summary": ("orders", "o_orderkey"), "akb_liabilities": ("lineitem", "l_orderkey * 10 + l_linenumber"),
+    "doc_front_all": ("lineitem", "l_orderkey * 10 + l_linenumber"), "doc_front_last_per_user": ("customer", "c_custkey"),
+}
+
+
+def source_name(table: str, column: str) -> str:
+    """A column's name in its source sheet: `UserId`, `IsPEP`, `@timestamp`, `response.reportId`."""
+    if table.startswith("akb_"):
+        renamed = {name: source for source, name in RENAMED.items()}
+        if column in renamed:
+            return renamed[column]
+        head, _, rest = column.partition("_")
+        if column == "timestamp":
+            return "@timestamp"
+        return f"{head}.{_camel(rest)}" if head in ("request", "response") and rest else _camel(column)
+    return "".join(part.upper() if part in ("pin", "pep") else part.capitalize() for part in column.split("_"))
+
+
+def _camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(part.capitalize() for part in rest)
+
+
+def _sheet(table: str) -> View:
+    """A source sheet with every declared column as text; 1 value in 103 is missing, 1 in 101 does not fit its column."""
+    source, key = SHEET_SOURCES[table]
+    columns = []
+    for place, column in enumerate(schemas.columns(table)):
+        good, bad = _cell(table, column, f"({key})")
+        odd = f"WHEN ({key} + {place}) % 101 = 0 THEN {bad} " if bad else ""
+        columns.append(f"CASE WHEN ({key} + {place}) % 103 = 0 THEN NULL {odd}ELSE {good} END AS {{q}}{source_name(table, column.name)}{{q}}")
+    return View(source, tuple(columns))
+
+
+def _cell(table: str, column: schemas.SourceColumn, key: str) -> tuple[str, str | None]:
+    """SQL of a fitting and of an unfitting text of a column."""
+    def some(n: int) -> str:
+        return f"CAST({key} % {n} AS STRING)"
+
+    def listed(by_table: dict) -> bool:
+        return column.name in by_table.get(table, ())
+
+    if listed(schemas.TRI_STATE) or listed(schemas.TRUTHY):
+        return f"concat({some(2)}, '.0')", "'perhaps'"
+    if listed(schemas.NULLABLE_INTEGERS):
+        return f"concat({some(5)}, '.0')", "'n/a'"
+    if column.type == "boolean":
+        return f"CASE WHEN {key} % 3 = 0 THEN 'true' ELSE 'false' END", "'perhaps'"
+    if column.type == "timestamp_ntz":
+        return f"concat('2023-05-1', {some(10)}, ' 07:08:09')", "'never'"
+    if column.type == "date":
+        return f"concat('199', {some(10)}, '-02-03')", "'unknown'"
+    if column.type.startswith("decimal"):
+        return f"concat({some(900)}, '.25')", "'n/a'"
+    if column.type in ("bigint", "int", "smallint"):
+        return some(1000), "'n/a'"
+    if column.length:
+        return f"concat('v', {some(90)})", f"repeat('x', {column.length + 1})"
+    return f"concat('{column.name} ', {some(50)})", None
+
+
+VIEWS.update({f"sheet_{table}": _sheet(table) for table in SHEET_SOURCES})
+
 _SCHEMAS: dict[str, StructType] = {}
 
 

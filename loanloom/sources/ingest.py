@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from loanloom.sources import schemas
 from loanloom.sources.readers import read_stored
@@ -126,18 +126,33 @@ def reconcile(source: Mapping[str, DataFrame], loaded: Mapping[str, DataFrame])
         F.sum(F.when(F.col("side") == "source", F.col("rows"))).alias("source_rows"),
         F.sum(F.when(F.col("side") == "loaded", F.col("rows"))).alias("loaded_rows"),
     )
+    return _compared(per_side)
+
+
+def _compared(counts: DataFrame) -> DataFrame:
     same = F.col("source_rows").eqNullSafe(F.col("loaded_rows"))
-    return per_side.withColumn("status", F.when(same, "OK").otherwise("MISMATCH"))
+    return counts.withColumn("status", F.when(same, "OK").otherwise("MISMATCH"))
+
 
+def ingest(df: DataFrame, table: str, folder: str) -> int:
+    """Types, checks and appends one table, accepted and rejected rows in separate folders; gives the rows read.
 
-def ingest(df: DataFrame, table: str, folder: str) -> None:
-    """Types, checks and appends one table in one pass, accepted and rejected rows in separate folders."""
-    append_checked(conformed(typed(df, table), table), f"{folder}/{table}")
+    The rows are counted as they pass to the writer, so the source is read once.
+    """
+    seen = Observation(f"source of {table}")
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    append_checked(conformed(typed(counted, table), table), f"{folder}/{table}")
+    return seen.get.get("rows", 0)
 
 
 def ingest_all(sources: Mapping[str, DataFrame], folder: str) -> DataFrame:
-    """Ingests every table and reconciles the row counts of sources and loaded tables."""
+    """Ingests every table and reconciles the rows read from each source with those its table holds afterwards.
+
+    Row counts of the sources come from the writing pass, those of the tables from the stored files' footers.
+    """
     spark = next(iter(sources.values())).sparkSession
-    for table, df in sources.items():
-        ingest(df, table, folder)
-    return reconcile(sources, {table: read_stored(spark, folder, table) for table in sources})
+    read = [(table, ingest(df, table, folder)) for table, df in sources.items()]
+    counts = spark.createDataFrame(read, "table_name string, source_rows bigint")
+    stored = [read_stored(spark, folder, table).agg(F.count("*").alias("loaded_rows")).select(F.lit(table).alias("table_name"), "loaded_rows")
+              for table in sources]
+    return _compared(counts.join(reduce(DataFrame.unionByName, stored), "table_name"))

@@ -33,7 +33,7 @@ def test_every_sql_has_a_query():
 
 def test_only_fitted_models_lack_sql():
     assert {n for n in QUERIES if n not in SQL} == {
-        "m5_training", "m6_prediction", "m7_importances", "m9_evaluation", "m9_evaluation_without_target_inputs"}
+        "m5_training", "m5_newton_training", "m6_prediction", "m7_importances", "m9_evaluation", "m9_evaluation_without_target_inputs"}
 
 
 def test_entry_decides_every_customer(spark):
