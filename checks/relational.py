@@ -11,6 +11,7 @@ from checks.registry import check
 from loanloom.fixtures import AS_OF
 from loanloom.operators import aggregates, joins, latest, metrics, ranking, reports, velocity
 from loanloom.plans import decisions, features
+from loanloom.session import materialise
 
 GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -109,6 +110,39 @@ def j9_identity_range(t):
     return recent.select("application_id", "recent_count", "recent_low", "recent_high")
 
 
+PAIRED = """a.submitted_at >= b.submitted_at AND b.submitted_at > a.submitted_at - INTERVAL '24 hours'
+    AND lower(b.surname) = coalesce(lower(a.surname), '') AND b.date_of_birth = coalesce(a.date_of_birth, '')"""
+
+
+@check(f"""SELECT a.id, b.id AS matched_id, b.submitted_at AS matched_at, {r6('b.akb_score', 'matched_score')}
+           FROM customer_submissions a JOIN customer_submissions b ON lower(b.name) = coalesce(lower(a.name), '') AND {PAIRED}""")
+def j9_submission_pairs(t):
+    return velocity.application_pairs(t.customer_submissions, t.customer_submissions, key="id", part_rows=50)
+
+
+@check(f"""SELECT a.application_id, b.id AS matched_id, b.submitted_at AS matched_at, {r6('b.akb_score', 'matched_score')}
+           FROM applications a JOIN customer_submissions b ON lower(b.name) = coalesce(lower(a.name), '') AND {PAIRED}""")
+def j9_application_pairs(t):
+    return velocity.application_pairs(t.applications, t.customer_submissions)
+
+
+@check("""SELECT n.application_id, m.matched_user_id FROM (SELECT application_id, CASE WHEN application_id % 7 = 0 THEN substr(login, 5, 2)
+              WHEN application_id % 7 = 1 THEN upper(substr(login, 3, 9)) WHEN application_id % 7 = 2 THEN 'nobody#' ELSE upper(login) END AS name
+            FROM applications a JOIN users u ON CAST(u.id AS BIGINT) = a.application_id) n
+          LEFT JOIN (SELECT application_id, min(id) AS matched_user_id FROM (
+              SELECT application_id, CASE WHEN application_id % 7 = 0 THEN substr(login, 5, 2) WHEN application_id % 7 = 1 THEN substr(login, 3, 9)
+                WHEN application_id % 7 = 2 THEN 'nobody#' ELSE login END AS part
+              FROM applications a JOIN users u ON CAST(u.id AS BIGINT) = a.application_id) p
+            JOIN users u ON contains(u.login, p.part) GROUP BY application_id) m ON m.application_id = n.application_id""")
+def p6_login_index(t):
+    """Parts of logins, short and long, some of nobody's, looked up in a stored index."""
+    asked = t.applications.join(t.users, F.col("id").cast("bigint") == F.col("application_id")).select(
+        "application_id", F.expr("CASE WHEN application_id % 7 = 0 THEN substr(login, 5, 2) WHEN application_id % 7 = 1 THEN upper(substr(login, 3, 9)) "
+                                 "WHEN application_id % 7 = 2 THEN 'nobody#' ELSE upper(login) END").alias("name"))
+    found = joins.users_by_index(materialise(joins.login_postings(t.users)), asked)
+    return found.select("application_id", "matched_user_id")
+
+
 @check("""SELECT application_id,
             coalesce(stored_birth_date, CAST(try_strptime(date_of_birth, '%d/%m/%Y') AS DATE)) AS birth_date,
             CASE WHEN a.user_id IS NULL THEN 'User ID is required for existing customers'

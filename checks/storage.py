@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from checks.parts import r6
 from checks.registry import check
+from checks.models import _sql
 from checks.relational import batch_decisions
 from loanloom.fixtures import AS_OF, SHEET_SOURCES, source_name
+from loanloom.operators.aggregates import row_count
 from loanloom.plans import decisions, features
 from loanloom.session import fresh_path
-from loanloom.sources import ingest, readers, schemas, sinks
+from loanloom.sources import bucketed, ingest, readers, schemas, sinks
 
 
 @check("""SELECT 'users' AS table_name, count(*) AS rows, count("Disabled") AS filled FROM raw_users
@@ -127,6 +129,23 @@ def s13_replace_and_count(t):
     return sinks.replace_table(decided, path)
 
 
+@check("SELECT count(*) AS rows FROM users")
+def s13_versioned_replace(t):
+    path = fresh_path(t.spark, "customer_decisions")
+    decided = decisions.decide_all(t.users, t.questionnaires, t.akb_scores, t.predictions, AS_OF)
+    for _ in range(2):
+        sinks.replace_versioned(decided, path)
+    return row_count(sinks.read_current(t.spark, path))
+
+
+@check(_sql(features.FEATURES_V3))
+def s3_bucketed_features(t):
+    """The features of m1_features_v3 from tables stored in buckets of their customer."""
+    folder = fresh_path(t.spark, "bucketed")
+    stored = bucketed.write_bucketed(t.credit, folder, f"bucketed_{folder[-12:]}", buckets=16)
+    return features.build_features(stored, AS_OF)
+
+
 SPLIT = "CASE WHEN contains(decision, 'APPROVED') THEN 'Approved' ELSE 'Rejected' END AS outcome"
 
 

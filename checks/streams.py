@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from checks.decide import offer_columns, reasons_text
 from checks.parts import PARTS, flags_sql, r6
 from checks.registry import check
+from checks.relational import BANDS, NOW, OUTCOMES
 from loanloom import fixtures
 from loanloom.fixtures import AS_OF
 from loanloom.operators import aggregates
 from loanloom.plans import features
 from loanloom.session import fresh_path, materialise
-from loanloom.streaming import applications as streams, stateful
+from loanloom.streaming import applications as streams, dashboard, stateful
 
 
 def _open(spark, folder, table):
@@ -145,3 +146,31 @@ def r5_split_decisions(t):
     stream = _stream(t, "customer_submissions").select("id", "decision")
     streams.each_batch(stream, streams.split_writer(f"{path}/rows"), f"{path}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{path}/rows").select("id", "decision", "outcome")
+
+
+def _dashboard(t):
+    """The dashboard's state after the stream of all submissions."""
+    path = fresh_path(t.spark, "dashboard")
+    streams.each_batch(_stream(t, "customer_submissions"), dashboard.dashboard_writer(f"{path}/state"), f"{path}/checkpoint").awaitTermination()
+    return dashboard.read_current(t.spark, f"{path}/state")
+
+
+@check(f"""SELECT CAST(submitted_at AS DATE) AS day, {OUTCOMES} FROM customer_submissions
+           WHERE submitted_at > {NOW} - INTERVAL '14 days' GROUP BY 1""")
+def a8_daily_by_batch(t):
+    return dashboard.daily_submissions(_dashboard(t), AS_OF)
+
+
+@check("SELECT decision, count(*) AS cnt FROM customer_submissions WHERE decision <> 'APPROVED' GROUP BY decision")
+def a9_reasons_by_batch(t):
+    return dashboard.rejection_reasons(_dashboard(t))
+
+
+@check(f"SELECT {BANDS} AS grade_range, count(*) AS cnt FROM customer_submissions WHERE akb_score IS NOT NULL GROUP BY 1")
+def a10_scores_by_batch(t):
+    return dashboard.score_distribution(_dashboard(t))
+
+
+@check(f"SELECT {OUTCOMES}, round(avg(akb_score), 1) AS avg_akb, round(avg(age), 1) AS avg_age FROM customer_submissions")
+def a11_stats_by_batch(t):
+    return dashboard.overall_stats(_dashboard(t))

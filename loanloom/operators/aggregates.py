@@ -60,12 +60,13 @@ def states_per_user(states: DataFrame, loans: DataFrame) -> DataFrame:
 
     States are reduced to one row per loan before the join, so neither the join nor the second
     group-by sees the row count of the state table. Rows that are no payment, or on time, count as
-    a delay of 0 in the average.
+    a delay of 0 in the average. States that are stored with their `user_id` need no join.
     """
+    owned = ["user_id"] if "user_id" in states.columns else []
     late = F.greatest(whole_days(F.col("created"), F.col("target_date")), F.lit(0))
     delay = F.when(F.col("transaction_type") == "payment", late).otherwise(0)
-    delayed = states.select("loan_id", "overdue_interest", "debt", delay.alias("delay"))
-    per_loan = delayed.groupBy("loan_id").agg(
+    delayed = states.select(*owned, "loan_id", "overdue_interest", "debt", delay.alias("delay"))
+    per_loan = delayed.groupBy(*owned, "loan_id").agg(
         F.count("*").alias("states"),
         count_if(F.col("delay").between(1, 30)).alias("delayed"),
         count_if(F.col("delay") > 30).alias("failed"),
@@ -74,10 +75,10 @@ def states_per_user(states: DataFrame, loans: DataFrame) -> DataFrame:
         F.sum("overdue_interest").alias("interest"),
         F.sum("debt").alias("debt"),
     )
-    owners = loans.select(F.col("id").alias("loan_id"), "user_id")
+    if not owned:
+        per_loan = per_loan.join(loans.select(F.col("id").alias("loan_id"), "user_id"), "loan_id")
     return (
-        per_loan.join(owners, "loan_id")
-        .groupBy("user_id")
+        per_loan.groupBy("user_id")
         .agg(
             F.sum("delayed").alias("delayed_payments"),
             F.sum("failed").alias("failed_payments_30plus"),

@@ -145,3 +145,34 @@ def users_by_name(users: DataFrame, names: DataFrame) -> DataFrame:
     smallest = pieces.groupBy("_name").agg(F.min("user_id").alias("matched_user_id"))
     found = smallest.join(wanted, "_name", "left_semi")
     return left_join_sparse(names.withColumn("_name", folded(F.col("name"))), found, "_name").drop("_name")
+
+
+def login_postings(users: DataFrame, length: int = 3) -> DataFrame:
+    """The index of logins: gram, user_id and login for every distinct piece of 1 to `length` letters of a login.
+
+    A login of n letters has at most `length` x n rows. Written once, it serves any number of lookups.
+    """
+    logins = users.select(F.col("id").alias("user_id"), folded(F.col("login")).alias("login")).where("login <> ''")
+    pieces = F.expr(f"flatten(transform(sequence(1, {length}), k -> filter(transform(sequence(1, length(login)), "
+                    f"i -> substring(login, i, k)), p -> length(p) = k)))")
+    return logins.select(F.explode(F.array_distinct(pieces)).alias("gram"), "user_id", "login")
+
+
+def users_by_index(postings: DataFrame, names: DataFrame, length: int = 3) -> DataFrame:
+    """For each of many names the smallest user id whose login contains it, by an index of logins.
+
+    A name of up to `length` letters is a gram itself, whose smallest id is an aggregate. A longer name takes the
+    rarest of its grams, and only the logins with that gram are tried for the whole name.
+    """
+    per_gram = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("logins"), F.min("user_id").alias("matched_user_id"))
+    wanted = names.select(folded(F.col("name")).alias("_name")).where("_name <> ''").distinct()
+    short = wanted.where(F.length("_name") <= length).join(
+        per_gram.withColumnRenamed("gram", "_name"), "_name").select("_name", "matched_user_id")
+    grams = F.expr(f"transform(sequence(1, length(_name) - {length} + 1), i -> substring(_name, i, {length}))")
+    tried = wanted.where(F.length("_name") > length).select("_name", F.explode(F.array_distinct(grams)).alias("gram"))
+    # A gram that no login has comes first, with 0 logins, and leaves no candidate.
+    counted = tried.join(per_gram.select("gram", "logins"), "gram", "left")
+    rarest = counted.groupBy("_name").agg(F.min_by("gram", F.struct(F.coalesce("logins", F.lit(0)), "gram")).alias("gram"))
+    candidates = rarest.join(postings, "gram").where(F.col("login").contains(F.col("_name")))
+    found = short.unionByName(candidates.groupBy("_name").agg(F.min("user_id").alias("matched_user_id")))
+    return left_join_sparse(names.withColumn("_name", folded(F.col("name"))), found, "_name").drop("_name")

@@ -121,3 +121,39 @@ def flag_list(score: Column) -> Column:
 def fraud_flags(probes: DataFrame, history: DataFrame) -> DataFrame:
     recent = trailing_activity(probes, history)
     return recent.withColumn("fraud_flags", flag_list(F.col("akb_score").cast("double")))
+
+
+#: Rows of one identity and day that one task joins.
+PART_ROWS = 10_000
+
+
+def application_pairs(
+    probes: DataFrame, history: DataFrame, key: str = "application_id", hours: int = 24, part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """Every probe with each row of `history` of the same identity in (ts - hours, ts]: key, id, its time and score.
+
+    `trailing_activity` gives what the pairs add up to without forming them; this is for those who must see the rows.
+    Time is cut into cells of the horizon: a history row lies in its own, a probe looks into its own and the one
+    before. Where an identity has more than `part_rows` rows in a cell, they are dealt to that many parts, which the
+    probes of the cell all visit, so no task holds a whole identity.
+    """
+    span = hours * 3600 * MICROS
+
+    def cell_of(pos: Column) -> Column:
+        return F.floor(pos / span).cast("bigint")
+
+    events = history.select(
+        *_identity(missing_as_empty=False), epoch_micros(F.col("submitted_at")).alias("_pos"),
+        F.col("id").alias("matched_id"), F.col("submitted_at").alias("matched_at"), F.col("akb_score").alias("matched_score"),
+    ).dropna(subset=[*KEYS, "_pos"]).withColumn("_cell", cell_of(F.col("_pos")))
+    at = epoch_micros(F.col("submitted_at"))
+    asked = probes.select(F.col(key), *_identity(missing_as_empty=True), at.alias("_at")).dropna(subset=["_at"])
+    asked = asked.withColumn("_cell", F.explode(F.array(cell_of(F.col("_at")), cell_of(F.col("_at")) - 1)))
+
+    place = [*KEYS, "_cell"]
+    parts = events.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("_parts"))
+    dealt = events.join(parts, place).withColumn("_part", F.pmod(F.xxhash64("matched_id", "_pos"), F.col("_parts")).cast("int"))
+    visits = asked.join(parts, place).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    joined = visits.join(dealt.drop("_parts"), [*place, "_part"])
+    inside = (F.col("_pos") <= F.col("_at")) & (F.col("_pos") > F.col("_at") - span)
+    return joined.where(inside).select(key, "matched_id", "matched_at", "matched_score")
