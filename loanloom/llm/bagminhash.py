@@ -10,11 +10,14 @@ length. Two documents agree in a component with the probability of their weighte
 
 Steps: equal texts become one node; bands of the signature name buckets; in each bucket, and in each finer bucket
 of two or three adjoining bands, the node that meets most others leads, and every member is verified against its
-leader on the exact multisets; links grow to components. Where a bucket still holds several components, its
-members outside the largest one are compared with all members, block by block, until each has a verified link to
-a component or none of its members is left. So no two linked texts of different classes remain, though a hot group
-is never compared pair by pair. A pair is verified only if its signatures agree in 55 % of the components, six
-standard deviations under the threshold. With 24 bands of 4 a pair at 0.8 meets with a probability of 0.999997.
+leader on the exact multisets; links grow to components. Where a bucket still holds several components, the
+signatures alone, block by block, name the most similar members of other components, first a few, then more; these
+pairs are verified and join components. What is still open then is settled exactly: a bucket's members outside its
+largest component are compared with all members, block by block, each pair in the first bucket that it shares, until
+each has a verified link to a component or none of its members is left. So no two linked texts of different classes
+remain, though a hot group is never compared pair by pair. A pair is verified only if its signatures agree in 55 % of
+the components, six standard deviations under the threshold. With 24 bands of 4 a pair at 0.8 meets with a
+probability of 0.999997.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`, unchanged; a text of fewer than five words is one shingle of
 them all; a text without words is in no pair, but equal texts always share a class; a null text is empty; the
@@ -28,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom.llm.bytestext import Texts, mix, runs, texts_of, word_hashes, words_of
 from loanloom.llm.components import components
+from loanloom.llm.grams import drop_finished_shuffles
 from loanloom.session import materialise
 
 SHINGLE = 5
@@ -42,6 +46,8 @@ BANDS, ROWS = 24, 4
 LEADER_BANDS = (1, 2, 3)
 #: Agreement of signatures below which a pair isn't verified.
 LEAST_AGREEMENT = 0.55
+#: Most similar members of another component that a node is verified with, round by round.
+ROUNDS = (3, 40)
 #: Members of an open bucket that a task compares with as many others.
 BLOCK_NODES = 1000
 SIGNATURE = "node binary, n_shingles bigint, signature binary"
@@ -135,13 +141,13 @@ def _node(text: Column) -> Column:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that their texts stay near 2 MB; a longer text is a block of its own."""
+    """Batches cut so that their texts stay near 512 KB; a longer text is a block of its own."""
     for batch in batches:
         size = np.cumsum(texts_of(batch.column("text")).lengths)
         at = 0
         while at < batch.num_rows:
             base = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, base + (2 << 20), side="right")))
+            to = max(at + 1, int(np.searchsorted(size, base + (1 << 19), side="right")))
             yield batch.slice(at, to - at)
             at = to
 
@@ -180,22 +186,54 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
 
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Signatures, numbers of the components, which rows are outer, and the band of a block of an open bucket."""
+    signed = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u4").reshape(table.num_rows, -1)
+    roots = table["root"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return signed, roots, table["outer"].to_numpy(), table["band"][0].as_py()
+
+
+def _candidates(signed: np.ndarray, roots: np.ndarray, inner: np.ndarray, x: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of other components that are similar enough to `x` and share no earlier band with it, the best first."""
+    same = signed[inner] == signed[x]
+    agreement = same.mean(axis=1)
+    first = same.reshape(len(inner), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+    close = np.flatnonzero((agreement >= LEAST_AGREEMENT) & (roots[inner] != roots[x]) & first)
+    close = close[np.argsort(-agreement[close], kind="stable")]
+    return inner[close], agreement[close]
+
+
+def _name_best(most: int, table: pa.Table) -> pa.Table:
+    """For each outer node of a block its `most` most similar members of each other component, by signature."""
+    signed, roots, outer, band = _block(table)
+    inner = np.flatnonzero(~outer)
+    xs, ys, how = [], [], []
+    for x in np.flatnonzero(outer):
+        found, agreement = _candidates(signed, roots, inner, x, band)
+        taken: dict[int, int] = {}
+        for y, value in zip(found.tolist(), agreement.tolist()):
+            if taken.setdefault(roots[y], 0) < most:
+                taken[roots[y]] += 1
+                xs.append(x)
+                ys.append(y)
+                how.append(value)
+    node, root = table["node"].combine_chunks(), table["root"].combine_chunks()
+    xs, ys = pa.array(xs, pa.int64()), pa.array(ys, pa.int64())
+    return pa.table([node.take(xs), node.take(ys), root.take(ys), pa.array(how, pa.float64())], names=["x", "y", "other", "agreement"])
+
+
 def _link_across(table: pa.Table) -> pa.Table:
     """One verified link from each outer node of a block to each other component that has one in the block."""
     items = [np.frombuffer(v.as_buffer(), np.uint64) for v in table["items"].combine_chunks()]
-    signed = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u4").reshape(len(items), -1)
-    node, roots = table["node"].to_pylist(), table["root"].to_pylist()
-    root = np.unique(np.array([int.from_bytes(r, "big") % 2**63 for r in roots], np.int64), return_inverse=True)[1]
-    outer = table["outer"].to_numpy()
+    signed, roots, outer, band = _block(table)
+    node = table["node"].to_pylist()
     inner = np.flatnonzero(~outer)
     out: set[tuple[bytes, bytes]] = set()
     for x in np.flatnonzero(outer):
-        agreement = (signed[inner] == signed[x]).mean(axis=1)
-        close = np.flatnonzero((agreement >= LEAST_AGREEMENT) & (root[inner] != root[x]))
         met: set[int] = set()
-        for y in inner[close[np.argsort(-agreement[close], kind="stable")]]:
-            if root[y] not in met and _jaccard(items[x], items[y]) >= THRESHOLD:
-                met.add(root[y])
+        for y in _candidates(signed, roots, inner, x, band)[0]:
+            if roots[y] not in met and _jaccard(items[x], items[y]) >= THRESHOLD:
+                met.add(roots[y])
                 out.add((min(node[x], node[y]), max(node[x], node[y])))
     pairs = sorted(out)
     return pa.table([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
@@ -214,6 +252,13 @@ def _agreement(one: str, two: str) -> Column:
     ) / F.lit(BANDS * ROWS)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """`df` in the shared folder, without the shuffle files that led to it."""
+    stored = materialise(df)
+    drop_finished_shuffles(df.sparkSession)
+    return stored
+
+
 class NearCopies:
     """Nodes, buckets and verified links of one table of documents."""
 
@@ -223,20 +268,20 @@ class NearCopies:
         self.texts = docs.select(_node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
         # Equal texts have equal signatures: copies meet inside each task before any shuffle.
         signed = self.texts.mapInArrow(_sign, SIGNATURE)
-        self.nodes = materialise(signed.groupBy("node").agg(
+        self.nodes = _written(signed.groupBy("node").agg(
             F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")))
-        self.buckets = materialise(self._buckets())
-        self.sets = materialise(self._sets())
+        self.buckets = _written(self._buckets())
+        self.sets = _written(self._sets())
 
     def _buckets(self) -> DataFrame:
-        """bucket, node and degree for nodes that share a bucket; degree is the sum of a node's bucket sizes."""
+        """bucket, band, node and degree for nodes that share a bucket; degree is the sum of a node's bucket sizes."""
         band = F.expr(
             f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {4 * ROWS} + 1, {4 * ROWS})))")
-        banded = self.nodes.where("n_shingles > 0").select("node", F.explode(band).alias("bucket"))
+        banded = self.nodes.where("n_shingles > 0").select("node", F.posexplode(band).alias("band", "bucket"))
         shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         members = banded.join(shared, "bucket")
         degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-        return members.drop("size").join(degree, "node").select("bucket", "node", "degree")
+        return members.drop("size").join(degree, "node").select("bucket", "band", "node", "degree")
 
     def _sets(self) -> DataFrame:
         """Signature and shingle multiset of the nodes that are in some bucket."""
@@ -269,10 +314,13 @@ class NearCopies:
             pairs = led if pairs is None else pairs.unionByName(led)
         return pairs.distinct()
 
-    def _across(self, classes: DataFrame) -> DataFrame:
-        """Verified links (a, b) between members of a bucket that are in different components so far."""
+    def _open_blocks(self, classes: DataFrame, data: DataFrame) -> DataFrame:
+        """The members of buckets with several components, in blocks: all of them, and (outer) those outside the largest one.
+
+        `data` has what a block needs of each node.
+        """
         labelled = self.buckets.join(classes, "node", "left").select(
-            "bucket", "node", F.coalesce("root", "node").alias("root"))
+            "bucket", "band", "node", F.coalesce("root", "node").alias("root"))
         parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         open_buckets = parts.groupBy("bucket").agg(
             F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).where("n > main.n").select(
@@ -281,21 +329,42 @@ class NearCopies:
             F.ceil((F.col("n") - F.col("main.n")) / BLOCK_NODES).alias("outer_blocks"))
         members = labelled.join(open_buckets, "bucket")
         every = members.select(
-            "bucket", "node", "root", F.lit(False).alias("outer"), F.pmod(F.xxhash64("node"), "blocks").alias("block"),
+            "bucket", "band", "node", "root", F.lit(False).alias("outer"), F.pmod(F.xxhash64("node"), "blocks").alias("block"),
             F.explode(F.expr("sequence(0L, outer_blocks - 1)")).alias("outer_block"))
         outer = members.where("root <> main").select(
-            "bucket", "node", "root", F.lit(True).alias("outer"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"),
+            "bucket", "band", "node", "root", F.lit(True).alias("outer"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"),
             F.pmod(F.xxhash64("node"), "outer_blocks").alias("outer_block"))
-        return every.unionByName(outer).join(self.sets, "node").groupBy("bucket", "block", "outer_block").applyInArrow(
-            _link_across, "a binary, b binary").distinct()
+        return every.unionByName(outer).join(data, "node")
+
+    def _best(self, classes: DataFrame, most: int) -> DataFrame:
+        """Pairs (a, b) of a node and its `most` most similar nodes of each other component, by signature."""
+        blocks = self._open_blocks(classes, self.nodes.select("node", "signature"))
+        named = blocks.groupBy("bucket", "block", "outer_block").applyInArrow(
+            lambda t: _name_best(most, t), "x binary, y binary, other binary, agreement double")
+        place = F.row_number().over(Window.partitionBy("x", "other").orderBy(F.desc("agreement"), "y"))
+        best = named.withColumn("place", place).where(F.col("place") <= most)
+        return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def _across(self, classes: DataFrame) -> DataFrame:
+        """Verified links (a, b) between members of a bucket that are in different components so far."""
+        blocks = self._open_blocks(classes, self.sets)
+        return blocks.groupBy("bucket", "block", "outer_block").applyInArrow(_link_across, "a binary, b binary").distinct()
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Verified links that connect every class, and the classes (node, root) of linked nodes."""
-        tested = materialise(self.verified(self._led()))
+        tested = _written(self.verified(self._led()))
         links = tested.where(F.col("similarity") >= THRESHOLD).select("a", "b")
         classes = components(links)
-        more = materialise(self._across(classes))
-        if not more.take(1):
+        for most in ROUNDS:
+            fresh = self._best(classes, most).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            found = _written(self.verified(fresh))
+            if found.isEmpty():
+                continue
+            tested = tested.unionByName(found)
+            links = links.unionByName(found.where(F.col("similarity") >= THRESHOLD).select("a", "b"))
+            classes = components(links)
+        more = _written(self._across(classes))
+        if more.isEmpty():
             return links, classes
         links = links.unionByName(more)
         return links, components(links)
@@ -308,7 +377,7 @@ class NearCopies:
         named = rooted.groupBy("root").agg(
             F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"),
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("first"))
-        return materialise(rooted.join(named, "root").select("node", "class_id", "class_size", "first"))
+        return _written(rooted.join(named, "root").select("node", "class_id", "class_size", "first"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

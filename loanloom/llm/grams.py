@@ -11,20 +11,26 @@ A history that may fill a bucket (`hot`, by its count, which every chunk knows a
 
 from __future__ import annotations
 
+import gc
 import math
 import struct
 from dataclasses import dataclass
+from urllib.parse import quote_from_bytes
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm.bytestext import Texts, distinct, grouped, ids_of, mix, pack_planes, texts_of, unpack_planes, word_hashes
+from loanloom.llm.bytestext import (
+    Texts, distinct, grouped, mix, pack_bits, pack_planes, texts_of, unpack_bits, unpack_planes, word_hashes)
+from loanloom.session import fresh_path
 
 #: Text of a chunk; the arrays over its words take some 25 times as much.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
+#: Rows packed together before they are dealt out.
+PACK_BYTES = 32 << 20
 #: N-grams a bucket receives on average.
 BUCKET_GRAMS = 1_500_000
 MESSAGE = "bucket int, chunk int, kind string, level int, body binary"
@@ -46,14 +52,45 @@ def layout_of(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Layout:
     return Layout(max(1, math.ceil(size / chunk_bytes)), max(1, math.ceil(size / 7 / BUCKET_GRAMS)), size)
 
 
-def chunked(docs: DataFrame, layout: Layout, **columns: Column) -> DataFrame:
-    """doc_id, text, key, chunk and the given columns of every row; other columns are left behind."""
+def chunked(docs: DataFrame, layout: Layout, note: Column) -> DataFrame:
+    """chunk and body: the rows of `docs` dealt to chunks, packed together as far as they come from one task.
+
+    A row keeps its doc_id, its whole text and a note, a string that is not null; other columns are left behind.
+    """
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        *[c.alias(name) for name, c in columns.items()])
-    key = F.xxhash64("doc_id", "text", *columns)
-    return rows.withColumns({
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), note.alias("note"))
+    key = F.xxhash64("doc_id", "text", "note")
+    rows = rows.withColumns({
         "key": key, "chunk": F.pmod(F.xxhash64(key, F.spark_partition_id()), F.lit(layout.chunks)).cast("int")})
+    return rows.mapInArrow(_pack_rows, "chunk int, body binary")
+
+
+def _pack_rows(batches):
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield _packed(pa.Table.from_batches(waiting))
+            waiting, size = [], 0
+    if waiting:
+        yield _packed(pa.Table.from_batches(waiting))
+
+
+def _packed(table: pa.Table) -> pa.RecordBatch:
+    number = table["chunk"].to_numpy()
+    order = np.argsort(number, kind="stable")
+    chunks, cuts = np.unique(number[order], return_index=True)
+    bodies = []
+    for rows in np.split(order, cuts[1:]) if len(chunks) else []:
+        part = table.take(pa.array(rows))
+        texts = texts_of(part["text"].combine_chunks())
+        notes = [quote_from_bytes(n.encode()) for n in part["note"].to_pylist()]
+        bodies.append(bundle(
+            pack_bits(part["doc_id"].is_valid().to_numpy()), pc.fill_null(part["doc_id"], 0).to_numpy().tobytes(),
+            part["key"].to_numpy().tobytes(), pack_strings(pa.array([n.encode() for n in notes], pa.large_binary())),
+            pack_ints(texts.lengths), squeezed(np.ascontiguousarray(texts.data))))
+    return pa.record_batch([pa.array(chunks, pa.int32()), pa.array(bodies, pa.binary())], ["chunk", "body"])
 
 
 @dataclass
@@ -61,18 +98,24 @@ class Chunk:
     """The documents of one chunk in an order that does not hang on their arrival."""
 
     number: int
-    table: pa.Table
+    ids: pa.Array
+    notes: list[bytes]
     texts: Texts
 
-    @property
-    def ids(self) -> pa.Array:
-        return self.table["doc_id"].combine_chunks().cast(pa.int64())
-
 
 def chunk_of(table: pa.Table) -> Chunk:
-    order = pa.array(np.lexsort((table["key"].to_numpy(), ids_of(table["doc_id"]))))
-    text = pc.take(table["text"].combine_chunks().cast(pa.large_string()), order)
-    return Chunk(table["chunk"][0].as_py(), table.drop_columns(["text"]).take(order), texts_of(text))
+    """`notes` are percent-encoded, without spaces and line feeds."""
+    parts = [unbundle(body) for body in table["body"].to_pylist()]
+    valid = np.concatenate([unpack_bits(p[0]) for p in parts])
+    ids, keys = (np.concatenate([np.frombuffer(p[i], np.int64) for p in parts]) for i in (1, 2))
+    notes = [n for p in parts for n in unpack_strings(p[3]).to_pylist()]
+    lengths = np.concatenate([unpack_ints(p[4]) for p in parts])
+    data = np.concatenate([np.frombuffer(expanded(p[5]), np.uint8) for p in parts])
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    order = np.lexsort((keys, ids, valid))
+    texts = np.concatenate([data[starts[i]:starts[i + 1]] for i in order])
+    return Chunk(table["chunk"][0].as_py(), pa.array(ids[order], pa.int64(), mask=~valid[order]), [notes[i] for i in order],
+                 Texts(texts, np.concatenate([[0], np.cumsum(lengths[order])])))
 
 
 def lower_ascii(texts: Texts) -> Texts:
@@ -164,19 +207,25 @@ class Level:
         return pc.binary_join_element_wise(self.before.phrases(self.hist[rows]), last, pa.scalar(b" ", pa.large_binary()))
 
 
+def squeezed(data) -> bytes:
+    """Bytes with their size, compressed."""
+    data = pa.py_buffer(data)
+    return struct.pack("<Q", data.size) + (pa.Codec("zstd", compression_level=3).compress(data, asbytes=True) if data.size else b"")
+
+
+def expanded(blob: bytes) -> bytes:
+    size, = struct.unpack_from("<Q", blob)
+    return pa.Codec("zstd").decompress(blob[8:], decompressed_size=size, asbytes=True) if size else b""
+
+
 def pack_strings(strings: pa.Array) -> bytes:
     """Strings without line feeds, compressed."""
     lines = pc.binary_join_element_wise(strings, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
-    data = lines.buffers()[2] if len(lines) else None
-    size = data.size if data is not None else 0
-    squeezed = pa.Codec("zstd", compression_level=3).compress(data, asbytes=True) if size else b""
-    return struct.pack("<Q", size) + squeezed
+    return squeezed(lines.buffers()[2] if len(lines) else b"")
 
 
 def unpack_strings(blob: bytes) -> pa.Array:
-    size, = struct.unpack_from("<Q", blob)
-    raw = pa.Codec("zstd").decompress(blob[8:], decompressed_size=size, asbytes=True) if size else b""
-    data = np.frombuffer(raw, np.uint8)
+    data = np.frombuffer(expanded(blob), np.uint8)
     ends = np.flatnonzero(data == 10)
     lengths = np.diff(ends, prepend=-1) - 1
     return _binary(np.concatenate([[0], np.cumsum(lengths)]), data[data != 10])
@@ -304,6 +353,33 @@ def add_up(asked: list[Question]) -> Totals:
     return Totals(hists.dictionary, keys // size, words.dictionary, keys % size, totals, first, which, hist_which)
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a finished pass once the driver collects its garbage: have it done now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Stored:
+    """A pass's messages in the shared folder: those to chunks until the next pass is written, the others for good."""
+
+    def __init__(self, sent: DataFrame):
+        self.spark = sent.sparkSession
+        self.path = fresh_path(self.spark, "grams")
+        sent.withColumn("kept", F.col("chunk") < 0).write.partitionBy("kept").parquet(self.path)
+
+    def told(self) -> DataFrame:
+        return self.spark.read.schema(f"{MESSAGE}, kept boolean").parquet(self.path).where("NOT kept").drop("kept")
+
+    def kept(self, *kinds: str) -> DataFrame:
+        rows = self.spark.read.schema(f"{MESSAGE}, kept boolean").parquet(self.path).where("kept")
+        return rows.where(F.col("kind").isin(*kinds)).drop("kept")
+
+    def drop_told(self) -> None:
+        """Once the next pass has been written, nobody reads the messages to chunks any more."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/kept=false")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def messages(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows)) if rows else [[]] * 5
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary()]
