@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -17,7 +17,7 @@ from loanloom.functions.scalars import as_timestamp, epoch_micros, event_time, w
 from loanloom.operators.joins import identity_keys, left_join_sparse
 from loanloom.operators.velocity import GAP_TEXT, MANY_SUBMISSIONS, MANY_TEXT, MICROS, SCORE_GAP, fraud_flags
 from loanloom.plans.decisions import decide_stateless, decide_submissions
-from loanloom.session import fresh_path
+from loanloom.session import materialise
 from loanloom.sources.sinks import with_outcome
 
 IDENTITY = ("name", "surname", "date_of_birth")
@@ -123,10 +123,11 @@ def first_per_horizon(batch: DataFrame, kept: DataFrame, span: int) -> DataFrame
     """The rows of `batch` that `first_applications` keeps beside the rows `kept` before; `span` in microseconds.
 
     Time is cut into cells of one span, in which an identity can have one kept row at most. Kept rows shrink to
-    bounds per identity and cell. Then the cells of the batch are passed in order, each once, with the rows kept in
-    the cell before: a heavy identity is spread over its times and combined before the shuffle.
+    bounds per identity and cell. Of the rows they leave free, each points to the first one of its identity that is a
+    span or more later; what is kept is what the first row reaches along these pointers. Pointers are doubled round by
+    round, so n cells of time take about log2(n) joins, whatever the number of identities.
     """
-    spark, keys = batch.sparkSession, ["_name", "_surname", "_birth"]
+    keys = ["_name", "_surname", "_birth"]
 
     def keyed(df: DataFrame) -> DataFrame:
         pos = epoch_micros(F.col("submitted_at"))
@@ -148,22 +149,37 @@ def first_per_horizon(batch: DataFrame, kept: DataFrame, span: int) -> DataFrame
     taken = (F.col("_pos") - F.col("before") < span) | (F.col("after") - F.col("_pos") < span)
     free = single.join(around, [*keys, "cell"], "left").where(~F.coalesce(taken, F.lit(False))).drop("before", "after")
 
-    path = fresh_path(spark, "horizon")
-    free = free.repartition("cell", F.pmod("_pos", F.lit(16)))
-    free.write.partitionBy("cell").parquet(f"{path}/free")
-    free = spark.read.schema(free.schema).parquet(f"{path}/free")
-    kept_schema = free.select(*keys, "_pos").schema
-    cells = sorted(r.cell for r in free.select("cell").distinct().collect())
-    for cell in cells:
-        open_rows = free.where(F.col("cell") == cell).select(*keys, "_pos")
-        if cell - 1 in cells:
-            last = spark.read.schema(kept_schema).parquet(f"{path}/kept/cell={cell - 1}").withColumnRenamed("_pos", "last")
-            open_rows = open_rows.join(last, keys, "left").where(F.col("last").isNull() | (F.col("_pos") - F.col("last") >= span))
-        open_rows.groupBy(*keys).agg(F.min("_pos").alias("_pos")).write.parquet(f"{path}/kept/cell={cell}")
-    if not cells:
-        return alone
-    chosen = spark.read.schema(free.select(*keys, "_pos", "cell").schema).parquet(f"{path}/kept")
-    return free.join(chosen, [*keys, "_pos", "cell"]).select("row.*").unionByName(alone)
+    free = materialise(free)
+    points = free.select(*keys, "_pos", "cell")
+    pointers = materialise(_following(points, keys, span))
+    reached = points.groupBy(*keys).agg(F.min("_pos").alias("_pos"))
+    while not pointers.isEmpty():
+        on = reached.join(pointers, [*keys, "_pos"]).select(*keys, F.col("next").alias("_pos"))
+        reached = materialise(reached.unionByName(on).distinct())
+        twice = pointers.select(*keys, F.col("_pos").alias("next"), F.col("next").alias("then"))
+        pointers = materialise(pointers.join(twice, [*keys, "next"]).select(*keys, "_pos", F.col("then").alias("next")))
+    return free.join(reached, [*keys, "_pos"]).select("row.*").unionByName(alone)
+
+
+def _following(points: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """For each point with a later one of its identity at least `span` after it: the first such (`next`).
+
+    It lies in the next cell, behind the point's own place there, or else is the first of a cell after that. No window
+    holds more of an identity than two cells of points, or one row per cell.
+    """
+    nothing = F.lit(None).cast("bigint")
+    asked = points.select(*keys, (F.col("cell") + 1).alias("cell"), (F.col("_pos") + span).alias("at"), "_pos", nothing.alias("answer"))
+    there = points.select(*keys, "cell", F.col("_pos").alias("at"), nothing.alias("_pos"), F.col("_pos").alias("answer"))
+    # From the end, so that the frame only grows; rows with the same place see each other.
+    onward = Window.partitionBy(*keys, "cell").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    near = asked.unionByName(there).withColumn("near", F.min("answer").over(onward)).where("_pos IS NOT NULL")
+    near = near.select(*keys, (F.col("cell") - 1).alias("cell"), "_pos", "near")
+    by_cell = Window.partitionBy(*keys).orderBy("cell")
+    firsts = points.groupBy(*keys, "cell").agg(F.min("_pos").alias("first"))
+    after = [F.lead(F.struct("cell", "first"), n).over(by_cell) for n in (1, 2)]
+    later = firsts.select(*keys, "cell", F.when(after[0]["cell"] > F.col("cell") + 1, after[0]["first"]).otherwise(after[1]["first"]).alias("later"))
+    found = near.join(later, [*keys, "cell"]).withColumn("next", F.coalesce("near", "later"))
+    return found.where("next IS NOT NULL").select(*keys, "_pos", "next")
 
 
 def _micros(horizon: str) -> int:

@@ -106,3 +106,25 @@ def test_decisions_by_type_equal_the_batch(spark, files_per_batch):
     assert any(r.already_exists and r.application_id > 1000 for r in rows.values())
     assert any(r.ml_score is not None and i % 3 == 0 and i < 1000 for i, r in rows.items())
     known.unpersist()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_kept_rows_equal_the_greedy_choice(spark, make, seed):
+    """Dense and sparse identities over many days, in one batch and in three, against a plain pass in order of time."""
+    import random
+
+    rng = random.Random(seed)
+    times = sorted({round(rng.random() * 400 * 3600) for _ in range(300)} | {3600 * h for h in range(0, 200, 8)})
+    data = [(i, rng.choice(["Ann", "ann", "Bob", f"n{i % 40}"]), "S", "1/1/1990", 1.0, T0 + timedelta(seconds=s), "APPROVED") for i, s in enumerate(times)]
+    want, last = [], {}
+    for row in data:
+        who = row[1].lower()
+        if who not in last or row[5] - last[who] >= timedelta(hours=24):
+            want.append(row[0])
+            last[who] = row[5]
+    for cuts in ([0, 400], [0, 100, 180, 400]):
+        folder = fresh_path(spark, "greedy")
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            make(SCHEMA, *data[lo:hi]).coalesce(1).write.mode("append").parquet(folder)
+        got = run(spark, streams.first_applications(open_stream(spark, folder)))
+        assert sorted(r.id for r in got.collect()) == want
