@@ -119,3 +119,22 @@ def test_components_of_paths_and_stars(spark):
     rng.shuffle(edges)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in [*range(100, 140), 150]}}
+
+
+@pytest.mark.parametrize("rounds", [(), (3, 40)])
+def test_a_hot_group_of_several_components(documents, monkeypatch, rounds):
+    """Copies of one text that are more or less alike, compared in small blocks, with and without rounds of candidates."""
+    monkeypatch.setattr(B, "BLOCK_NODES", 60)
+    monkeypatch.setattr(B, "ROUNDS", rounds)
+    rng = random.Random(11)
+    base = prose(rng, 60).split()
+    texts = {}
+    for i in range(350):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            copy[rng.randrange(60)] = f"c{rng.randrange(500)}"
+        texts[i] = " ".join(copy)
+    want = classes(texts)
+    got = {r.doc_id: r.class_id for r in B.near_copies(documents(texts, parts=5)).collect()}
+    assert got == want and len(set(want.values())) > 20
+    assert max(Counter(want.values()).values()) > 50
