@@ -174,3 +174,8 @@ def a10_scores_by_batch(t):
 @check(f"SELECT {OUTCOMES}, round(avg(akb_score), 1) AS avg_akb, round(avg(age), 1) AS avg_age FROM customer_submissions")
 def a11_stats_by_batch(t):
     return dashboard.overall_stats(_dashboard(t))
+
+
+@check(f"SELECT {OUTCOMES} FROM customer_submissions")
+def a13_summary_by_batch(t):
+    return dashboard.run_summary(_dashboard(t))

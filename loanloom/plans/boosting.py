@@ -245,7 +245,7 @@ def train(rows: DataFrame, features, settings: Newton = Newton(), target: str =
     known = rows.where(F.col(target).isNotNull()).select(
         F.col(target).cast("double").alias("target"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
     names = [f"f{i}" for i in range(len(features))]
-    known = known.select("target", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names], F.xxhash64("target", *names).alias("key"))
+    known = known.select("target", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names]).withColumn("key", F.xxhash64("target", *names))
     edges = quantile_edges(known, names, settings.bins)
     widths = [len(e) for e in edges]
 

@@ -14,14 +14,16 @@ from loanloom.operators.joins import (
     existing_applicants,
     fan_out_left_join,
     left_join_sparse,
+    login_postings,
     score_lookup,
-    users_by_name,
+    users_by_index,
     with_birth_date,
 )
 from loanloom.operators.velocity import fraud_flags
 from loanloom.plans import rules
 from loanloom.plans.offers import loan_offer
 from loanloom.plans.reasons import reason_list
+from loanloom.session import materialise
 
 # Output columns in order.
 BATCH_COLUMNS = """
@@ -230,8 +232,11 @@ def decide_existing(
 def decide_by_name(
     applications: DataFrame, users: DataFrame, stored_features: DataFrame, probabilities: DataFrame | None, as_of
 ) -> DataFrame:
-    """Decision by the stored features of the user whose login contains the applicant's name."""
-    matched = users_by_name(users, apply_hard_rules(applications, as_of))
+    """Decision by the stored features of the user whose login contains the applicant's name.
+
+    The index of logins is written to the shared folder first, as three parts of the lookup read it.
+    """
+    matched = users_by_index(materialise(login_postings(users)), apply_hard_rules(applications, as_of))
     stored = stored_features.select("user_id").distinct().withColumn("has_features", F.lit(True))
     # The applicant's own user_id plays no part here: the matched one does.
     found = left_join_sparse(matched.drop("user_id").withColumnRenamed("matched_user_id", "user_id"), stored, "user_id")

@@ -92,3 +92,8 @@ def overall_stats(state: DataFrame) -> DataFrame:
         return half_up(F.col(f"{name}_sum") / F.nullif(F.col(f"{name}_count"), F.lit(0)), 1).cast("double")
 
     return state.where("kind = 'all'").select("total", "approved", "rejected", mean("akb").alias("avg_akb"), mean("age").alias("avg_age"))
+
+
+def run_summary(state: DataFrame) -> DataFrame:
+    """As `reports.run_summary`: the outcomes of everything decided so far."""
+    return state.where("kind = 'all'").select("total", "approved", "rejected")

@@ -1,6 +1,7 @@
 """Rules, scorecard, offers, reasons, features and decisions on edge values."""
 
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,23 @@ def test_submissions_are_routed_and_stored_once(spark, make, credit):
     assert names("stored") == ["Bob", "Eve", "Eve"] and names("report") == ["Bob", "Bob", "Eve", "Eve"]
 
 
+def test_a_customer_without_a_prediction_is_left_to_the_rules(make):
+    """One customer at a time: approved by the rules, though the model knows others. In batch scoring: no decision."""
+    users = make("id string", ("a",), ("b",))
+    answers = make("user_id string, birth_date date", ("a", date(1990, 1, 1)), ("b", date(1990, 1, 1)))
+    scores = make("id string, user_id string, timestamp timestamp_ntz, is_successful boolean, response_borrower_status string, "
+                  "response_score_calculated smallint, response_score_point decimal(8,2), response_score_response string, "
+                  "response_score_exclusion smallint, response_borrower_participant_of_patriotic_war smallint",
+                  *[(u, u, datetime(2024, 1, 1), True, "active", 1, Decimal(700), "C", None, None) for u in "ab"])
+    known = make("user_id string, probability double, prediction int", ("a", 0.2, 0))
+    got = {r.user_id: (r.decision, r.decision_type) for r in decisions.decide_all(users, answers, scores, known, NOW).collect()}
+    assert got == {"a": (rules.HIGH_RISK, rules.BY_MODEL), "b": (rules.APPROVED, rules.BY_RULES)}
+    stored = make("user_id string, age double, akb_score double, akb_grade string, loans_paid_count long, total_loans long, successful_payments long, "
+                  "failed_payments long, payment_success_rate double, total_overdue_interest double, probability double, prediction int",
+                  ("b", 34.0, 700.0, "C", 1, 1, 1, 0, 1.0, 0.0, None, None))
+    assert [r.decision for r in decisions.score_all(stored, known.where("false"), NOW).collect()] != [rules.APPROVED]
+
+
 def test_older_pass_label(make):
     df = make("date_of_birth string, akb_score double", ("15/03/1990", 700.0))
     assert decisions.apply_hard_rules(df, NOW, passed="APPROVED").first().hard_decision == "APPROVED"
