@@ -235,31 +235,43 @@ def _start(column) -> int:
     return int(np.frombuffer(column.buffers()[1], kind)[column.offset])
 
 
-def train(rows: DataFrame, features, settings: Newton = Newton(), target: str = "target") -> Ensemble:
-    """Fits on the rows with a target; NULL and NaN are missing. Columns are read as doubles.
+_MATRIX = "target double, key bigint, margin double, values binary, bins binary"
 
-    The matrix is written to the shared folder, again every WRITE_EVERY trees with the margins so far; what that
-    replaces is deleted, so a lost executor costs one pass and the folder holds two copies at most.
-    """
-    spark, features = rows.sparkSession, list(features)
-    known = rows.where(F.col(target).isNotNull()).select(
-        F.col(target).cast("double").alias("target"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+
+def _known(rows: DataFrame, features: list[str], target: str) -> DataFrame:
+    """target, f0, f1, ... as doubles, NULL where missing, and a hash of the row."""
     names = [f"f{i}" for i in range(len(features))]
-    known = known.select("target", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names]).withColumn("key", F.xxhash64("target", *names))
-    edges = quantile_edges(known, names, settings.bins)
-    widths = [len(e) for e in edges]
+    known = rows.where(F.col(target).isNotNull()).select(
+        F.col(target).cast("double").alias("target"), *[F.col(f).cast("double").alias(n) for n, f in zip(names, features)])
+    known = known.select("target", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+    return known.withColumn("key", F.xxhash64("target", *names))
+
 
-    def binned(batches):
+def _binned(known: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """The rows packed: values, their bins, and a margin of 0."""
+    def pack(batches):
         for batch in batches:
-            values = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1)
+            values = np.stack([batch.column(f"f{i}").to_numpy(zero_copy_only=False) for i in range(len(edges))], 1)
             bins = bins_of(values, edges).astype(np.uint16)
             yield pa.record_batch({
                 "target": batch.column("target"), "key": batch.column("key"), "margin": pa.array(np.zeros(len(values))),
                 "values": pa.array([v.tobytes() for v in np.ascontiguousarray(values)], pa.binary()),
                 "bins": pa.array([b.tobytes() for b in bins], pa.binary())})
 
-    schema = "target double, key bigint, margin double, values binary, bins binary"
-    matrix = _Written(known.mapInArrow(binned, schema))
+    return known.mapInArrow(pack, _MATRIX)
+
+
+def train(rows: DataFrame, features, settings: Newton = Newton(), target: str = "target") -> Ensemble:
+    """Fits on the rows with a target; NULL and NaN are missing. Columns are read as doubles.
+
+    The matrix is written to the shared folder in files of even size, again every WRITE_EVERY trees with the margins so
+    far; what that replaces is deleted, so a lost executor costs one pass and the folder holds two copies at most.
+    """
+    features = list(features)
+    known = _known(rows, features, target)
+    edges = quantile_edges(known, [f"f{i}" for i in range(len(features))], settings.bins)
+    widths = [len(e) for e in edges]
+    matrix = _Written(_binned(known, edges).hint("rebalance"))
     ensemble = Ensemble(features)
     for number in range(settings.trees):
         tree, columns = Tree.empty(settings.depth), columns_of(number, len(features), settings)
@@ -272,11 +284,21 @@ def train(rows: DataFrame, features, settings: Newton = Newton(), target: str =
         ensemble.trees.append(tree)
         if len(ensemble.trees) % WRITE_EVERY == 0 and len(ensemble.trees) < settings.trees:
             latest = Ensemble(features, ensemble.trees[-WRITE_EVERY:])
-            matrix.replace(matrix.rows.mapInArrow(lambda b, e=latest: _with_margins(b, e), schema))
+            matrix.replace(matrix.rows.mapInArrow(lambda b, e=latest: _with_margins(b, e), _MATRIX))
     matrix.delete()
     return ensemble
 
 
+def root_sums(rows: DataFrame, features, edges: list[np.ndarray], target: str = "target") -> DataFrame:
+    """feature, bin, g and h of the first level of the first tree over all rows, for given cut points."""
+    features = list(features)
+    settings = Newton(row_share=1.0, column_share=1.0)
+    sums = _sums(_binned(_known(rows, features, target), edges), Ensemble(features), Tree.empty(1), 0, np.arange(len(features)),
+                 [len(e) for e in edges], 0, settings)
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("feature") + 1)
+    return sums.select(name.alias("feature"), "bin", (F.col("g") / SCALE).alias("g"), (F.col("h") / SCALE).alias("h"))
+
+
 def _with_margins(batches, latest: Ensemble):
     for batch in batches:
         values, _ = _matrix_of(batch, len(latest.features))
@@ -284,7 +306,7 @@ def _with_margins(batches, latest: Ensemble):
         yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin))
 
 
-def _pass(matrix: DataFrame, since: Ensemble, tree: Tree, level: int, columns, widths, number: int, settings: Newton) -> np.ndarray:
+def _sums(matrix: DataFrame, since: Ensemble, tree: Tree, level: int, columns, widths, number: int, settings: Newton) -> DataFrame:
     """Sums of one level over all rows. Each task sends one row per node, column and bin that it has met."""
     count = len(since.features)
 
@@ -301,8 +323,12 @@ def _pass(matrix: DataFrame, since: Ensemble, tree: Tree, level: int, columns, w
             "node": pa.array(node, pa.int32()), "feature": pa.array(place, pa.int32()), "bin": pa.array(at, pa.int32()),
             "g": pa.array(total[0][node, place, at]), "h": pa.array(total[1][node, place, at])})
 
-    added = matrix.mapInArrow(sums, _LEVEL).groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    found = added.toPandas()
+    return matrix.mapInArrow(sums, _LEVEL).groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+
+
+def _pass(matrix: DataFrame, since: Ensemble, tree: Tree, level: int, columns, widths, number: int, settings: Newton) -> np.ndarray:
+    """The sums of a level as an array: 2 x nodes x columns x bins."""
+    found = _sums(matrix, since, tree, level, columns, widths, number, settings).toPandas()
     out = np.zeros((2, 2 ** level, len(columns), max(widths) + 2), np.int64)
     out[:, found["node"], found["feature"], found["bin"]] = found[["g", "h"]].to_numpy().T
     return out
