@@ -9,12 +9,10 @@ a document stops once no later point can win; most shingles need one or two poin
 length. Two documents agree in a component with the probability of their weighted Jaccard similarity.
 
 Steps: equal texts become one node; bands of the signature name buckets; in each bucket, and in each finer bucket
-of two or three adjoining bands, the node that meets most others leads, and every member is verified against its
-leader on the exact multisets; links grow to components. Where a bucket still holds several components, the
-signatures alone, block by block, name the most similar members of other components, first a few, then more; these
-pairs are verified and join components. What is still open then is settled exactly: a bucket's members outside its
-largest component are compared with all members, block by block, each pair in the first bucket that it shares, until
-each has a verified link to a component or none of its members is left. So no two linked texts of different classes
+of two or three adjoining bands, the node that meets most others leads, and every node is verified against the
+LEADERS greatest of its leaders on the exact multisets; links grow to components. Where a bucket still holds several components, its members
+outside the largest one are compared with all members, block by block, each pair in the first bucket that it shares,
+until each has a verified link to a component or none of its members is left. So no two linked texts of different classes
 remain, though a hot group is never compared pair by pair. A pair is verified only if its signatures agree in 55 % of
 the components, six standard deviations under the threshold. With 24 bands of 4 a pair at 0.8 meets with a
 probability of 0.999997.
@@ -46,8 +44,8 @@ BANDS, ROWS = 24, 4
 LEADER_BANDS = (1, 2, 3)
 #: Agreement of signatures below which a pair isn't verified.
 LEAST_AGREEMENT = 0.55
-#: Most similar members of another component that a node is verified with, round by round.
-ROUNDS = (3, 40)
+#: Leaders that a node is verified with, those that meet most others.
+LEADERS = 6
 #: Members of an open bucket that a task compares with as many others.
 BLOCK_NODES = 1000
 SIGNATURE = "node binary, n_shingles bigint, signature binary"
@@ -203,25 +201,6 @@ def _candidates(signed: np.ndarray, roots: np.ndarray, inner: np.ndarray, x: int
     return inner[close], agreement[close]
 
 
-def _name_best(most: int, table: pa.Table) -> pa.Table:
-    """For each outer node of a block its `most` most similar members of each other component, by signature."""
-    signed, roots, outer, band = _block(table)
-    inner = np.flatnonzero(~outer)
-    xs, ys, how = [], [], []
-    for x in np.flatnonzero(outer):
-        found, agreement = _candidates(signed, roots, inner, x, band)
-        taken: dict[int, int] = {}
-        for y, value in zip(found.tolist(), agreement.tolist()):
-            if taken.setdefault(roots[y], 0) < most:
-                taken[roots[y]] += 1
-                xs.append(x)
-                ys.append(y)
-                how.append(value)
-    node, root = table["node"].combine_chunks(), table["root"].combine_chunks()
-    xs, ys = pa.array(xs, pa.int64()), pa.array(ys, pa.int64())
-    return pa.table([node.take(xs), node.take(ys), root.take(ys), pa.array(how, pa.float64())], names=["x", "y", "other", "agreement"])
-
-
 def _link_across(table: pa.Table) -> pa.Table:
     """One verified link from each outer node of a block to each other component that has one in the block."""
     items = [np.frombuffer(v.as_buffer(), np.uint64) for v in table["items"].combine_chunks()]
@@ -300,25 +279,24 @@ class NearCopies:
         return close.select("a", "b", "items_a", "items_b").mapInArrow(_similarity, "a binary, b binary, similarity double")
 
     def _led(self) -> DataFrame:
-        """Distinct pairs (a, b) of a node and the leader of one of its buckets."""
+        """Distinct pairs (a, b) of a node and its greatest leaders. A node has few pairs however many buckets it is in."""
         known = self.buckets.select("node", "degree").distinct().join(self.nodes, "node")
-        pairs = None
+        led = None
         for wide in LEADER_BANDS:
             names = F.expr(
                 f"transform(sequence(0, {BANDS - wide}), i -> "
                 f"xxhash64(i, substring(signature, i * {4 * ROWS} + 1, {4 * ROWS * wide})))")
             members = known.select("node", "degree", F.explode(names).alias("bucket"))
-            leaders = members.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
-            led = members.join(leaders, "bucket").where("node <> leader").select(
-                F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-            pairs = led if pairs is None else pairs.unionByName(led)
-        return pairs.distinct()
-
-    def _open_blocks(self, classes: DataFrame, data: DataFrame) -> DataFrame:
-        """The members of buckets with several components, in blocks: all of them, and (outer) those outside the largest one.
-
-        `data` has what a block needs of each node.
-        """
+            leaders = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("leader"))
+            here = members.join(leaders, "bucket").where("node <> leader.node").select("node", "leader")
+            led = here if led is None else led.unionByName(here)
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("leader.degree"), F.desc("leader.node")))
+        greatest = led.distinct().withColumn("place", place).where(F.col("place") <= LEADERS)
+        return greatest.select(
+            F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+
+    def _open_blocks(self, classes: DataFrame) -> DataFrame:
+        """The members of buckets with several components, in blocks: all of them, and (outer) those outside the largest one."""
         labelled = self.buckets.join(classes, "node", "left").select(
             "bucket", "band", "node", F.coalesce("root", "node").alias("root"))
         parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -334,20 +312,11 @@ class NearCopies:
         outer = members.where("root <> main").select(
             "bucket", "band", "node", "root", F.lit(True).alias("outer"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"),
             F.pmod(F.xxhash64("node"), "outer_blocks").alias("outer_block"))
-        return every.unionByName(outer).join(data, "node")
-
-    def _best(self, classes: DataFrame, most: int) -> DataFrame:
-        """Pairs (a, b) of a node and its `most` most similar nodes of each other component, by signature."""
-        blocks = self._open_blocks(classes, self.nodes.select("node", "signature"))
-        named = blocks.groupBy("bucket", "block", "outer_block").applyInArrow(
-            lambda t: _name_best(most, t), "x binary, y binary, other binary, agreement double")
-        place = F.row_number().over(Window.partitionBy("x", "other").orderBy(F.desc("agreement"), "y"))
-        best = named.withColumn("place", place).where(F.col("place") <= most)
-        return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return every.unionByName(outer).join(self.sets, "node")
 
     def _across(self, classes: DataFrame) -> DataFrame:
         """Verified links (a, b) between members of a bucket that are in different components so far."""
-        blocks = self._open_blocks(classes, self.sets)
+        blocks = self._open_blocks(classes)
         return blocks.groupBy("bucket", "block", "outer_block").applyInArrow(_link_across, "a binary, b binary").distinct()
 
     def links(self) -> tuple[DataFrame, DataFrame]:
@@ -355,14 +324,6 @@ class NearCopies:
         tested = _written(self.verified(self._led()))
         links = tested.where(F.col("similarity") >= THRESHOLD).select("a", "b")
         classes = components(links)
-        for most in ROUNDS:
-            fresh = self._best(classes, most).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            found = _written(self.verified(fresh))
-            if found.isEmpty():
-                continue
-            tested = tested.unionByName(found)
-            links = links.unionByName(found.where(F.col("similarity") >= THRESHOLD).select("a", "b"))
-            classes = components(links)
         more = _written(self._across(classes))
         if more.isEmpty():
             return links, classes

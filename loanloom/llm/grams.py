@@ -28,11 +28,11 @@ from loanloom.llm.bytestext import (
 from loanloom.session import fresh_path
 
 #: Text of a chunk; the arrays over its words take some 25 times as much.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 5 << 20
 #: Rows packed together before they are dealt out.
 PACK_BYTES = 32 << 20
 #: N-grams a bucket receives on average.
-BUCKET_GRAMS = 1_500_000
+BUCKET_GRAMS = 2_000_000
 MESSAGE = "bucket int, chunk int, kind string, level int, body binary"
 ASK, CARRY, ANSWER = "ask", "carry", "answer"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -188,7 +188,13 @@ class Level:
             fits &= allowed
         places = np.flatnonzero(fits)
         size = max(len(words.strings), 1)
-        keys, first, which = grouped(hist[places] * size + words.code[places])
+        if self.level == 0 and len(words.tags) == 1 and allowed is None:
+            # One history: the codes are the places already, but for the code of the history itself.
+            seen = np.bincount(words.code, minlength=size) > 0
+            number = np.cumsum(seen) - 1
+            keys, which, first = np.flatnonzero(seen) + size * words.tags[0], number[words.code], None
+        else:
+            keys, first, which = grouped(hist[places] * size + words.code[places])
         level.at = np.full(n, -1, np.int64)
         level.at[places] = which
         level.hist, level.last = keys // size, keys % size
@@ -293,7 +299,8 @@ def route(level: Level, rows: np.ndarray, buckets: int, spread: np.ndarray | Non
     """
     to = level.hash[rows] if spread is None else np.where(spread[level.hist[rows]], level.hash[rows], level.before.hash[level.hist[rows]])
     bucket = (to % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    # A stable sort of small integers is a radix sort.
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     size = len(level.before)
     pairs = bucket * size + level.hist[rows]
@@ -347,9 +354,10 @@ def add_up(asked: list[Question]) -> Totals:
     of_row = np.repeat(hist_which, np.concatenate([q.sizes for q in asked]))
     keys, first, which = grouped(of_row * size + words.indices.to_numpy(zero_copy_only=False))
     counts = np.concatenate([q.numbers[:, 0] for q in asked])
-    ordered = np.argsort(which, kind="stable")
-    cuts = np.searchsorted(which[ordered], np.arange(len(keys)))
-    totals = np.add.reduceat(counts[ordered], cuts) if len(keys) else counts[:0]
+    totals = np.zeros(len(keys), np.int64)
+    # Sums in double precision are exact up to 2^53; a chunk's counts are far below 2^32.
+    for part, scale in ((counts & 0xFFFF, 1), (counts >> 16, 1 << 16)):
+        totals += np.bincount(which, weights=part, minlength=len(keys)).astype(np.int64) * scale
     return Totals(hists.dictionary, keys // size, words.dictionary, keys % size, totals, first, which, hist_which)
 
 

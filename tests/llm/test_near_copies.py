@@ -121,11 +121,9 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in [*range(100, 140), 150]}}
 
 
-@pytest.mark.parametrize("rounds", [(), (3, 40)])
-def test_a_hot_group_of_several_components(documents, monkeypatch, rounds):
-    """Copies of one text that are more or less alike, compared in small blocks, with and without rounds of candidates."""
+def test_a_hot_group_of_several_components(documents, monkeypatch):
+    """Copies of one text that are more or less alike, compared in small blocks."""
     monkeypatch.setattr(B, "BLOCK_NODES", 60)
-    monkeypatch.setattr(B, "ROUNDS", rounds)
     rng = random.Random(11)
     base = prose(rng, 60).split()
     texts = {}
