@@ -111,7 +111,10 @@ def test_discounts_fall_back():
     assert all(0 < d <= 1 for d in katz.good_turing([1000, 300, 120, 60, 40, 25]))
     assert katz.good_turing([10, 0, 0, 0, 0, 0]) == [(r - 0.5) / r for r in range(1, 6)]
     assert katz.good_turing([0] * 6)[0] == 0.5
-    assert katz.good_turing([100, 30, 0, 5, 0, 0])[1:] == [1.0] * 4
+    # Counts up to 2 can be discounted; with a single count the formula leaves nothing, so an absolute discount follows.
+    few = katz.good_turing([100, 30, 6, 0, 0, 0])
+    assert few[2:] == [1.0] * 3 and 0 < few[1] < few[0] < 1
+    assert katz.good_turing([100, 30, 0, 5, 0, 0]) == [(r - 0.625) / r for r in range(1, 6)]
 
 
 def test_model_beats_the_base_on_held_out_texts(documents):
