@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,6 +54,17 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> Texts:
     return Texts(data, starts - starts[0])
 
 
+def slices_by_size(batch: pa.RecordBatch, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `size` bytes of its column text (a longer text is a slice of its own)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def ids_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Document ids; a null becomes NO_ID, which is larger than every other id."""
     return pc.fill_null(column.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.bytestext import distinct, plain_letters, texts_of, word_hashes, words_of
+from loanloom.llm.bytestext import distinct, plain_letters, slices_by_size, texts_of, word_hashes, words_of
 
 PLACES = 2**20
 SAMPLE = 6000
@@ -120,8 +120,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     return learn(owners, np.concatenate(lists).astype(np.int64), taken["grade"].to_numpy())
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches hold rows by number, however long their texts; arrays over their bytes take some 16 times as much."""
     for batch in batches:
+        yield from slices_by_size(batch)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _sliced(batches):
         rows, places = distinct_words(batch.column("text"))
         cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
         lists = [places[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(cuts[:-1], cuts[1:])]
@@ -137,15 +143,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             "doc_id", F.lit(None).cast("double").alias("expected_severity"), F.lit(None).cast("int").alias("grade"),
             F.lit(None).cast("double").alias("p_toxic"), F.lit(None).cast("boolean").alias("toxic"))
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(PLACES)
-        weights[model.places] = model.weights
-        for batch in batches:
-            owners, places = distinct_words(batch.column("text"))
-            p = model.grades(np.bincount(owners, weights=weights[places], minlength=batch.num_rows))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(axis=1).astype(np.int32)),
-                pa.array(1 - p[:, 0]), pa.array(p[:, 0] <= 0.5),
-            ], names="doc_id expected_severity grade p_toxic toxic".split())
-
-    return rows.mapInArrow(apply, "doc_id bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
+    return rows.mapInArrow(
+        lambda batches: _predictions(batches, model),
+        "doc_id bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
+
+
+def _predictions(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    weights = np.zeros(PLACES)
+    weights[model.places] = model.weights
+    for batch in _sliced(batches):
+        owners, places = distinct_words(batch.column("text"))
+        p = model.grades(np.bincount(owners, weights=weights[places], minlength=batch.num_rows))
+        yield pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(axis=1).astype(np.int32)),
+            pa.array(1 - p[:, 0]), pa.array(p[:, 0] <= 0.5),
+        ], names="doc_id expected_severity grade p_toxic toxic".split())

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -146,6 +147,24 @@ def test_toxicity_of_odd_rows(odd, none):
     assert toxicity.predict(odd, model).count() == odd.count() and toxicity.predict(none, model).count() == 0
 
 
+def test_toxicity_holds_a_few_texts_at_a_time():
+    """A batch of 16 MB, as one of 8,000 texts of a page is: not arrays over all its bytes at once."""
+    texts = [f"Word{i} " * 250 for i in range(8000)] + [None, ""]
+    n, size = len(texts), sum(len(t or "") for t in texts)
+    batch = pa.record_batch({"doc_id": pa.array(range(n)), "text": pa.array(texts, pa.string()), "draw": pa.array(range(n)),
+                             "grade": pa.array([0] * n, pa.int32())})
+    tracemalloc.start()
+    rows = [r for part in toxicity._features(iter([batch])) for r in part.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 16e6 and peak < 4 * size
+    assert [r["draw"] for r in rows] == list(range(n)) and [len(r["places"]) for r in rows] == [4] * 8000 + [0, 0]
+    places = np.frombuffer(rows[7]["places"], np.int32)
+    model = toxicity.Model(np.array([0.5]), places.astype(np.int64), np.array([1.0]))
+    found = [r for part in toxicity._predictions(iter([batch]), model) for r in part.to_pylist()]
+    assert [r["doc_id"] for r in found] == list(range(n)) and [r["doc_id"] for r in found if r["toxic"] != found[0]["toxic"]] == [7]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_slots_are_a_permutation(n):
     order = shards.Feistel(n, 9)
