@@ -48,6 +48,8 @@ def _with_probability(df: DataFrame, probabilities: DataFrame | None, sparse: bo
         predicted = (F.col("probability") >= 0.5).cast("int")
         probabilities = probabilities.withColumn("prediction", predicted)
     scores = probabilities.select("user_id", "probability", "prediction")
+    # Figures of an earlier model give way to those given.
+    df = df.drop("probability", "prediction")
     return left_join_sparse(df, scores, "user_id") if sparse else df.join(scores, "user_id", "left")
 
 
