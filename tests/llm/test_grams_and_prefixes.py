@@ -329,3 +329,24 @@ def test_a_long_text(documents):
     texts = {1: prose(rng, 60_000), 2: prose(rng, 10)}
     rows = katz.fit(documents(texts), held=F.lit(False), chunk_bytes=1000).score().collect()
     assert sorted(r.n_tokens for r in rows) == [11, 60_001]
+
+
+def test_chunks_are_stored_as_numbers_of_words():
+    """A stored chunk gives back what its texts gave; n-grams with a part below the least count are not formed."""
+    import pyarrow as pa
+
+    texts = [b"B a b a b c", b"", b"a b  a x"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    chunk = grams.Chunk(7, pa.array([-3, None, 5]), [katz.LEARNED, katz.HELD, katz.LEARNED], grams.Texts(data, np.cumsum([0, *map(len, texts)])))
+    made = katz.Coded.from_texts(chunk)
+    back = katz.Coded.of(made.packed())
+    assert back.number == 7 and back.ids.to_pylist() == [-3, None, 5] and back.held.tolist() == [False, True, False]
+    words = back.words.strings.to_pylist()
+    assert [words[c] for c in back.words.code] == [b"b", b"a", b"b", b"a", b"b", b"c", b"", b"", b"a", b"b", b"a", b"x", b""]
+    assert (back.words.piece == made.words.piece).all() and (back.words.hashes == made.words.hashes).all()
+    passes = katz.Passes(3, grams.Layout(1, 1, 20), 1 << 20)
+    single = back.words.root.longer()
+    double = passes._longer(single, single.counts(back.learned))
+    triple = passes._longer(double, double.counts(back.learned))
+    found = dict(zip(triple.phrases(np.arange(len(triple))).to_pylist(), triple.counts().tolist()))
+    assert found == {b" b a b": 2, b" a b a": 2}  # led by the empty first history
