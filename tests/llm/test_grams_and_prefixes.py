@@ -350,3 +350,25 @@ def test_chunks_are_stored_as_numbers_of_words():
     triple = passes._longer(double, double.counts(back.learned))
     found = dict(zip(triple.phrases(np.arange(len(triple))).to_pylist(), triple.counts().tolist()))
     assert found == {b" b a b": 2, b" a b a": 2}  # led by the empty first history
+
+
+def test_questions_by_numbers():
+    """Longer n-grams are asked by numbers of a few bytes, and what a chunk was told is read without a shuffle."""
+    asked = grams.Numbered(np.array([3, 7, (2 << grams.KEY_BITS) + 1]), np.array([2, 0, 3]), np.array([1, 90, 4, 5, 600]),
+                           np.array([[1, 2, 1, 1, 9]]).T, np.array([[0, 1, 0], [2, 0, 1]]).T, np.array([50, 50, 7, 9, 1]))
+    back = grams.Numbered.of(asked.packed(), 1)
+    for name in ("hists", "sizes", "words", "numbers", "of_hists", "of_words"):
+        assert (getattr(back, name) == getattr(asked, name)).all()
+    rng = random.Random(4)
+    n = 20_000
+    words = np.sort(np.array([int(rng.paretovariate(0.6)) for _ in range(n)]) % 500_000)
+    many = grams.Numbered(np.arange(n) * 180, np.ones(n, np.int64), words, np.ones((n, 1)), np.zeros((n, 0)))
+    # As text, a trigram takes some 15 bytes.
+    assert len(many.packed()) < 5 * n
+
+
+def test_what_chunks_were_told_is_not_shuffled_again(documents):
+    model = katz.fit(documents(zipf_texts(3, 200)), chunk_bytes=2000)
+    assert model.passes.layout.chunks > 4
+    plan = model.score()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
