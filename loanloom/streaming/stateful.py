@@ -1,9 +1,12 @@
 """Exact trailing velocity kept in operator state: no batch reads the stored table again.
 
-Per identity the state holds the rows of the last 24 hours, cut into grains of ten minutes. Two timers of event time
-belong to a grain: when the watermark passes its end, nothing can come before its rows any more, so they are answered;
-24 hours later no answer needs them, and they are dropped. Late rows up to the watermark's delay therefore count exactly,
-however the stream is cut into batches, and state never reaches further back than the horizon and the delay.
+Per identity the state is one value with the rows of the last 24 hours in order of time. Time is cut into grains of ten
+minutes. When the watermark passes the end of a grain, nothing can come before its rows any more, so they are answered;
+24 hours later no answer needs them, and they are dropped. An identity has one timer, for the first grain of which one
+or the other is due; when it fires, everything due by then is answered and dropped in one step, so a batch reads and
+writes the state of an identity twice at most, however many grains the watermark has passed. Late rows up to the
+watermark's delay count exactly, however the stream is cut into batches, and state never reaches further back than the
+horizon and the delay.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from loanloom.operators.velocity import MICROS, flag_list
 from loanloom.streaming.applications import IDENTITY, _identified, with_event_time
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What comes before all times.
+NEVER = -(1 << 63)
 ANSWER = "name string, surname string, date_of_birth string, id string, akb_score double, at bigint, recent_count bigint, recent_low double, recent_high double"
 
 
@@ -31,7 +36,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 class Velocity(StatefulProcessor):
     """Answers each row with the count, lowest and highest score of its identity in (at - horizon, at].
 
-    `grains` maps the number of a grain to its rows: times ascending, scores (NaN for NULL), ids.
+    `rows` are the times ascending, scores (NaN for NULL) and ids of an identity; those before `answered` have their
+    answers. `timer` is the end of a grain, in microseconds like all times.
     """
 
     def __init__(self, hours: int, grain_seconds: int):
@@ -41,63 +47,84 @@ class Velocity(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.grains = handle.getMapState("grains", "grain bigint", "at array<bigint>, score array<double>, id array<string>")
+        self.rows = handle.getValueState(
+            "rows", "at array<bigint>, score array<double>, id array<string>, answered bigint, timer bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        """Files the rows under their grains and sets the timers of new grains."""
-        new = pd.concat(list(rows), ignore_index=True)
-        for grain, part in new.groupby(new["at"] // self.grain):
-            grain = int(grain)
-            if self.grains.containsKey((grain,)):
-                at, score, ids = self.grains.getValue((grain,))
-                part = pd.concat([pd.DataFrame({"at": at, "akb_score": np.array(score, float), "id": ids}), part])
-            else:
-                end = (grain + 1) * self.grain
-                for moment in (end, end + self.horizon):
-                    self.handle.registerTimer(_millis(moment))
-            part = part.sort_values("at", kind="stable")
-            self.grains.updateValue((grain,), (
-                part["at"].astype(int).tolist(), part["akb_score"].astype(float).tolist(), part["id"].tolist()))
+        """Files the rows under their times and sets the timer if they are due before what is waited for."""
+        parts = list(rows)
+        at = np.concatenate([p["at"].to_numpy(np.int64) for p in parts])
+        score = np.concatenate([p["akb_score"].to_numpy(float) for p in parts])
+        ids = np.concatenate([p["id"].to_numpy(object) for p in parts])
+        stored, answered, timer = self.rows.get(), NEVER, None
+        if stored is not None:
+            old_at, old_score, old_ids, answered, timer = stored
+            at = np.concatenate([np.array(old_at, np.int64), at])
+            score = np.concatenate([np.array(old_score, float), score])
+            ids = np.concatenate([np.array(old_ids, object), ids])
+        order = np.argsort(at, kind="stable")
+        self._store(at[order], score[order], ids[order], answered, timer)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Answers the grain that ends now and drops the one that ended a horizon ago."""
-        end = expiredTimerInfo.getExpiryTimeInMs() * (MICROS // 1000)
-        grain, back = end // self.grain - 1, self.horizon // self.grain
-        answers = []
-        if self.grains.containsKey((grain,)):
-            parts = {k[0]: (np.array(at), np.array(score, float)) for k, (at, score, _) in self.grains.iterator() if grain - back <= k[0] <= grain}
-            ids = self.grains.getValue((grain,))[2]
-            answers.append(self._answers(key, grain, back, parts, ids))
-        if self.grains.containsKey((grain - back,)):
-            self.grains.removeKey((grain - back,))
+        """Answers the grains that have ended and drops those that ended a horizon ago."""
+        stored = self.rows.get()
+        if stored is None:
+            return iter([])
+        at, score, ids, answered, timer = stored
+        at, score, ids = np.array(at, np.int64), np.array(score, float), np.array(ids, object)
+        fired = expiredTimerInfo.getExpiryTimeInMs() * (MICROS // 1000)
+        passed = max(timerValues.getCurrentWatermarkInMs() * (MICROS // 1000), fired) // self.grain * self.grain
+        due = slice(np.searchsorted(at, answered), np.searchsorted(at, passed))
+        answers = [self._answers(key, at, score, ids, due)] if due.start < due.stop else []
+        kept = np.searchsorted(at, passed - self.horizon)
+        if kept < len(at):
+            self._store(at[kept:], score[kept:], ids[kept:], max(answered, passed), None if timer == fired else timer)
+        else:
+            self.rows.clear()
         return iter(answers)
 
-    def _answers(self, key, grain: int, back: int, parts: dict, ids) -> pd.DataFrame:
-        """Own grain up to the row, whole grains in between, and the end of the grain in which the span begins."""
-        at, score = parts[grain]
-        between = [parts[g] for g in parts if grain - back < g < grain]
-        middle = np.concatenate([s for _, s in between]) if between else np.zeros(0)
-        first_at, first_score = parts.get(grain - back, (np.zeros(0, int), np.zeros(0)))
-        until = np.searchsorted(at, at, side="right")
-        begins = np.searchsorted(first_at, at - self.horizon, side="right")
-        count = until + len(middle) + len(first_at) - begins
-        low = _running(np.fmin, score)[until - 1]
-        high = _running(np.fmax, score)[until - 1]
-        for pick, own in ((np.fmin, low), (np.fmax, high)):
-            tail = np.append(_running(pick, first_score[::-1])[::-1], np.nan)
-            own[:] = pick(pick(own, tail[begins]), pick.reduce(middle) if len(middle) else np.nan)
+    def _store(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray, answered: int, timer: int | None) -> None:
+        """Writes the state with the timer of what is due next; `timer` is the one that is set."""
+        first = np.searchsorted(at, answered)
+        due = at[first] if first < len(at) else at[0] + self.horizon
+        end = (int(due) // self.grain + 1) * self.grain
+        if timer is None or end < timer:
+            if timer is not None:
+                self.handle.deleteTimer(_millis(timer))
+            self.handle.registerTimer(_millis(end))
+            timer = end
+        self.rows.update((at.tolist(), score.tolist(), ids.tolist(), answered, timer))
+
+    def _answers(self, key, at: np.ndarray, score: np.ndarray, ids: np.ndarray, due: slice) -> pd.DataFrame:
+        asked = at[due]
+        begins = np.searchsorted(at, asked - self.horizon, side="right")
+        ends = np.searchsorted(at, asked, side="right")
         name, surname, birth = key
         return pd.DataFrame({
-            "name": name, "surname": surname, "date_of_birth": birth, "id": ids, "akb_score": score, "at": at,
-            "recent_count": count, "recent_low": low, "recent_high": high})
+            "name": name, "surname": surname, "date_of_birth": birth, "id": ids[due], "akb_score": score[due], "at": asked,
+            "recent_count": ends - begins, "recent_low": _over_ranges(np.fmin, score, begins, ends),
+            "recent_high": _over_ranges(np.fmax, score, begins, ends)})
 
     def close(self) -> None:
         pass
 
 
-def _running(pick, values: np.ndarray) -> np.ndarray:
-    return pick.accumulate(values) if len(values) else values
+def _over_ranges(pick, values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """`pick` over values[begin:end] of each range, none of them empty.
+
+    A range is covered by two runs of the largest power of two that fits; runs are doubled step by step.
+    """
+    out = np.empty(len(begins))
+    steps = np.frexp(ends - begins)[1] - 1
+    run = values
+    for step in range(int(steps.max()) + 1):
+        if step:
+            half = 1 << step - 1
+            run = pick(run[:-half], run[half:])
+        mine = steps == step
+        out[mine] = pick(run[begins[mine]], run[ends[mine] - (1 << step)])
+    return out
 
 
 def _millis(micros: int) -> int:

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from loanloom.operators import velocity
@@ -103,6 +104,29 @@ def test_session_zone_changes_nothing(spark, make, zone):
     assert got == expected(make, data)
 
 
+def test_one_timer_answers_all_grains_that_are_due(spark, make):
+    """A timer per grain took minutes on 100,000 rows: each is a round trip to the state store for itself."""
+    data = [(i, f"p{i % 3}", "S", "1/1/1990", float(i), T0 + timedelta(minutes=11 * i)) for i in range(300)]
+    folder, path = fresh_path(spark, "in"), fresh_path(spark, "out")
+    arrive(make, folder, data, 1)
+    query = run(spark, folder, path)
+    metrics = [p["stateOperators"][0]["customMetrics"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < sum(m["numRegisteredTimers"] for m in metrics) <= 2 * 3
+    assert results(spark.read.parquet(f"{path}/rows")) == expected(make, data)
+
+
+@pytest.mark.parametrize("pick", [min, max])
+def test_ranges_of_any_length(pick):
+    rng = random.Random(4)
+    values = np.array([np.nan if rng.random() < 0.3 else float(rng.randrange(100)) for _ in range(70)])
+    begins = np.array([i for i in range(70) for _ in range(i, 70)])
+    ends = np.array([j + 1 for i in range(70) for j in range(i, 70)])
+    got = stateful._over_ranges(np.fmin if pick is min else np.fmax, values, begins, ends)
+    for b, e, v in zip(begins, ends, got):
+        known = [x for x in values[b:e].tolist() if x == x]
+        assert v == pick(known) if known else np.isnan(v)
+
+
 def test_grains_must_fit():
     with pytest.raises(ValueError):
         stateful.Velocity(24, 7000)
