@@ -203,24 +203,114 @@ def _identified() -> Column:
     return F.col("name").isNotNull() & F.col("surname").isNotNull() & F.col("date_of_birth").isNotNull()
 
 
-def hourly_velocity(submissions: DataFrame, late: str = "1 hour") -> DataFrame:
+def hourly_velocity(submissions: DataFrame, late: str = "1 hour") -> ByBatch:
     """Submissions and score range per identity in 24-hour windows that start every hour.
 
-    Rows whose identity has a NULL part belong to nobody and are left out.
+    Rows whose identity has a NULL part belong to nobody and are left out, as are rows without a time. A window is
+    written once the watermark, `late` before the newest row of earlier batches, has passed its end; what arrives
+    for it afterwards doesn't count.
 
-    Partial aggregates combine before the shuffle, so a busy identity costs one row per window and task.
+    State is one row per identity and hour, not one for each of the 24 windows it lies in. Each batch adds its hours to
+    <path>/_hours, from which windows are formed when they close: hours are dealt by identity once and spread over their
+    windows where they are, so a busy identity costs one row per hour and no window is shuffled or kept in a store.
     """
-    known = with_event_time(submissions).where(_identified())
-    keyed = known.withColumns({"name": F.lower("name"), "surname": F.lower("surname")})
-    span = F.window("submitted_at", "24 hours", "1 hour")
-    counted = keyed.withWatermark("submitted_at", late).groupBy(span, *IDENTITY).agg(
-        F.count("*").alias("recent_count"), F.min("akb_score").alias("recent_low"), F.max("akb_score").alias("recent_high"))
-    flags = F.array_compact(F.array(
-        F.when(F.col("recent_count") >= MANY_SUBMISSIONS, MANY_TEXT),
-        F.when(F.col("recent_high") - F.col("recent_low") > SCORE_GAP, GAP_TEXT),
-    ))
-    window = F.struct(wall_clock(F.col("window.start")).alias("start"), wall_clock(F.col("window.end")).alias("end"))
-    return counted.withColumns({"window": window, "fraud_flags": flags})
+    known = with_event_time(submissions).where(_identified() & F.col("submitted_at").isNotNull())
+    rows = known.select(
+        F.lower("name").alias("name"), F.lower("surname").alias("surname"), "date_of_birth", "akb_score", "submitted_at")
+    # An operator with a watermark, though a tiny one, makes Spark run a last batch without rows, which writes what the
+    # rows of the batch before have closed.
+    passed = rows.select("submitted_at").withWatermark("submitted_at", late).groupBy(F.window("submitted_at", "1 hour")).count()
+    nothing = passed.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    delay = _micros(late)
+
+    def writer(path: str) -> Callable[[DataFrame, int], None]:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            spark = batch.sparkSession
+            older, before = _mark(spark, path, batch_id - 2), _mark(spark, path, batch_id - 1)
+            for part in set(older["parts"]) - set(before["parts"]):
+                _delete(spark, _hours_of(path, part))
+            parts, first = dict(before["parts"]), before["mark_before"] - 24 * HOUR
+            added = _by_hour(batch.where("submitted_at IS NOT NULL"))
+            if len(parts) >= MOST_PARTS:
+                added = _summed(added.unionByName(_stored_hours(spark, path, parts, added.schema).where(F.col("hour") > first)), "hour", "latest")
+                parts = {}
+            added.write.mode("overwrite").parquet(_hours_of(path, batch_id))
+            newest, latest = spark.read.schema(added.schema).parquet(_hours_of(path, batch_id)).agg(F.max("hour"), F.max("latest")).first()
+            if newest is not None:
+                parts[batch_id] = newest
+            starts = (first // HOUR + 1) * HOUR, (before["mark"] // HOUR - 24) * HOUR
+            closed = _stored_hours(spark, path, parts, added.schema)
+            _windows(closed, *starts).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            mark = before["mark"] if latest is None else max(before["mark"], latest - delay)
+            kept = {part: newest for part, newest in parts.items() if newest + 24 * HOUR > before["mark"]}
+            spark.createDataFrame([(mark, before["mark"], kept)], MARK).coalesce(1).write.mode("overwrite").parquet(
+                f"{path}/_marks/batch={batch_id}")
+        return write
+
+    return ByBatch(rows.unionByName(nothing), writer)
+
+
+HOUR = 3600 * MICROS
+#: Folders of hours that are read one by one; when there are more, a batch writes them together.
+MOST_PARTS = 48
+#: The watermark in microseconds after a batch and after the one before, and the folders of hours that the next batch
+#: needs, each with its newest hour.
+MARK = "mark bigint, mark_before bigint, parts map<bigint,bigint>"
+
+
+def _mark(spark: SparkSession, path: str, batch_id: int) -> dict:
+    """What a batch left; a watermark begins in 1970."""
+    if batch_id < 0:
+        return {"mark": 0, "mark_before": 0, "parts": {}}
+    return spark.read.schema(MARK).parquet(f"{path}/_marks/batch={batch_id}").first().asDict()
+
+
+def _hours_of(path: str, batch_id: int) -> str:
+    return f"{path}/_hours/batch={batch_id}"
+
+
+def _stored_hours(spark: SparkSession, path: str, parts, schema) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[_hours_of(path, part) for part in sorted(parts)])
+
+
+def _by_hour(rows: DataFrame) -> DataFrame:
+    """Submissions, lowest and highest score, and latest time of each identity and hour."""
+    at = F.unix_micros("submitted_at")
+    return rows.groupBy(*IDENTITY, (at - F.pmod(at, F.lit(HOUR))).alias("hour")).agg(
+        F.count("*").alias("recent_count"), F.min("akb_score").alias("recent_low"), F.max("akb_score").alias("recent_high"),
+        F.max(at).alias("latest"))
+
+
+def _summed(hours: DataFrame, start: str, *latest: str) -> DataFrame:
+    return hours.groupBy(*IDENTITY, start).agg(
+        F.sum("recent_count").alias("recent_count"), F.min("recent_low").alias("recent_low"),
+        F.max("recent_high").alias("recent_high"), *[F.max(c).alias(c) for c in latest])
+
+
+def _windows(hours: DataFrame, first: int, last: int) -> DataFrame:
+    """The 24-hour windows that start from `first` to `last` and hold any of `hours`."""
+    needed = hours.where(F.col("hour").between(first, last + 23 * HOUR)) if first <= last else hours.where(F.lit(False))
+    starts = F.sequence(
+        F.greatest(F.col("hour") - 23 * HOUR, F.lit(first)), F.least(F.col("hour"), F.lit(last)), F.lit(HOUR))
+    spread = needed.repartition(*IDENTITY).withColumn("begins", F.explode(starts))
+    counted = _summed(spread, "begins")
+    many = F.col("recent_count") >= MANY_SUBMISSIONS
+    varies = F.coalesce(F.col("recent_high") - F.col("recent_low") > SCORE_GAP, F.lit(False))
+    # Four constants; an array built and compacted row by row took as long as the sums.
+    many_text, gap_text = F.lit(MANY_TEXT), F.lit(GAP_TEXT)
+    flags = (F.when(many & varies, F.array(many_text, gap_text)).when(many, F.array(many_text))
+             .when(varies, F.array(gap_text)).otherwise(F.array().cast("array<string>")))
+    start, end = (F.timestamp_add("HOUR", F.floor(F.col("begins") / HOUR) + later, as_timestamp("1970-01-01 00:00:00")) for later in (0, 24))
+    window = F.struct(start.alias("start"), end.alias("end"))
+    return counted.select(
+        window.alias("window"), *IDENTITY, "recent_count", "recent_low", "recent_high", flags.alias("fraud_flags"))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def daily_totals(submissions: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -46,6 +46,32 @@ def test_closed_days_equal_the_batch(spark, arrivals):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
 
 
+@pytest.mark.parametrize("most_parts", [1, 48])
+def test_hourly_windows_keep_one_row_per_hour(spark, arrivals, monkeypatch, most_parts):
+    """Windows that have closed, with one late row that counts and one too late; no state of 24 rows per submission."""
+    folder, data = arrivals
+    monkeypatch.setattr(streams, "MOST_PARTS", most_parts)
+    late = [(200, "n0", "S", "1/1/1990", 999.0, T0 + timedelta(hours=h), "APPROVED") for h in (79, 20)]
+    spark.createDataFrame(late, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    path = fresh_path(spark, "hourly")
+    query = streams.write_files(streams.hourly_velocity(open_stream(spark, folder)), f"{path}/rows", f"{path}/checkpoint")
+    query.awaitTermination()
+    got = {(r.window.start, r.name): (r.recent_count, r.recent_low, r.recent_high, r.fraud_flags) for r in spark.read.parquet(f"{path}/rows").collect()}
+    # Batches end at 39, 79 and 119 hours; the third closes windows up to 78 hours, so the last takes rows from there on.
+    rows = [(r.name.lower(), r.submitted_at, r.akb_score) for r in data.collect()] + [("n0", late[0][5], 999.0)]
+    want = {}
+    for start in (T0 + timedelta(hours=h) for h in range(-23, 119 - 1 - 24 + 1)):
+        for name in {n for n, *_ in rows}:
+            scores = [s for n, at, s in rows if n == name and start <= at < start + timedelta(hours=24)
+                      and (s < 999 or start + timedelta(hours=24) > T0 + timedelta(hours=78))]
+            if scores:
+                flags = [velocity.MANY_TEXT] * (len(scores) >= 3) + [velocity.GAP_TEXT] * (max(scores) - min(scores) > 100)
+                want[start, name] = len(scores), min(scores), max(scores), flags
+    assert got == want
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(states) <= 120
+
+
 def test_first_application_per_identity_and_horizon(spark, arrivals):
     got = run(spark, streams.first_applications(open_stream(spark, arrivals[0]), "1000 hours"))
     assert got.count() == 5 and got.select("name").distinct().count() == 5
