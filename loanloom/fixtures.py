@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from loanloom.sources import schemas
@@ -320,7 +320,23 @@ def view(spark: SparkSession, folder: str, name: str, read=sample) -> DataFrame:
         df = df.selectExpr("*", f"explode(sequence(0, CAST({spec.repeat} AS INT))) AS n")
     if spec.prepare:
         df = df.selectExpr("*", *spec.prepare)
-    return df.selectExpr(*[c.format(q="`", ntz="TIMESTAMP_NTZ") for c in spec.columns])
+    columns = [F.expr(c.format(q="`", ntz="TIMESTAMP_NTZ")) for c in spec.columns]
+    if len(columns) > ONE_METHOD:
+        columns[-1] = _out_of_line(columns[-1], df.select(columns[-1]).columns[0])
+    return df.select(*columns)
+
+
+#: Columns of this number are still one generated method that the JVM compiles.
+ONE_METHOD = 16
+
+
+def _out_of_line(column: Column, name: str) -> Column:
+    """The same value by an expression that keeps its projection out of whole-stage code.
+
+    There all columns become one method, which beyond 8,000 bytes the JVM interprets for good: four times the time for
+    32 columns. Outside of it Spark splits the projection into methods.
+    """
+    return F.element_at(F.transform(F.array(column), lambda value: value), 1).alias(name)
 
 
 def views(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:

@@ -76,3 +76,18 @@ def test_only_new_customers_are_stored(spark, make):
     path = fresh_path(spark, "submissions")
     sinks.append_submissions(make("k int, customer_type string", (1, "new"), (2, "existing")), path)
     assert [r.k for r in spark.read.parquet(path).collect()] == [1]
+
+
+def test_workbooks_of_all_sheets_are_stored_compressed(spark):
+    import glob
+
+    from checks import all_checks
+    from loanloom.session import shared_folder
+
+    def written():
+        return set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/workbooks-*/*/*/part-*"))
+
+    before = written()
+    assert all_checks()[0]["s1_all_sheets"](spark, "/root/testdata/sf0.001").count() == 249
+    new = written() - before
+    assert len(new) >= 15 and all(name.endswith(".csv.gz") for name in new)
