@@ -91,3 +91,22 @@ def test_workbooks_of_all_sheets_are_stored_compressed(spark):
     assert all_checks()[0]["s1_all_sheets"](spark, "/root/testdata/sf0.001").count() == 249
     new = written() - before
     assert len(new) >= 15 and all(name.endswith(".csv.gz") for name in new)
+
+
+def test_rules_and_wide_sheets_run_as_compiled_code(spark, make):
+    """A lambda has all rules interpreted; one method of 32 columns is too long for the JVM to compile."""
+    from loanloom import fixtures
+    from loanloom.sources import ingest, schemas
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    sheet = fixtures.view(spark, "/root/testdata/sf0.001", "sheet_akb_liabilities")
+    assert "Project" in plan(sheet) and "*(1) Project" not in plan(sheet)
+    assert "*(1) Project" in plan(fixtures.view(spark, "/root/testdata/sf0.001", "sheet_loan_states"))
+    declared = [c for c in schemas.columns("loan_actions") if c.name in ("id", "loan_id", "tag")]
+    rows = make("id string, loan_id string, tag string", ("1", "a", "b"), ("x", None, "t" * 51), (None, "a", None))
+    checked = ingest.conformed(rows, "loan_actions", declared)
+    assert "lambda" not in plan(checked)
+    assert [r.violations for r in checked.collect()] == [
+        [], ["id: not a bigint", "loan_id: missing", "tag: longer than 50"], ["id: missing", "tag: missing"]]
